@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,7 +50,7 @@ def let(value: Column, use) -> Column:
 
 def words(text: Column) -> Column:
     """The words of the contracts, ``[^\\x20\\x09-\\x0D]+``, in order; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "[ \\x09-\\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), BLANKS, " " * len(BLANKS)), " "), "")
 
 
 def fold_case(text: Column) -> Column:
@@ -68,3 +70,26 @@ def byte_slices(batch, column: str = "text", most: int = 4_000_000):
     edges = np.flatnonzero(np.diff(block)) + 1
     for a, b in zip([0, *edges], [*edges, batch.num_rows]):
         yield batch.slice(int(a), int(b - a))
+
+
+def join_skewed(facts: DataFrame, dim: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """facts joined to dim on key, where a few keys may hold most facts.
+
+    dim has one row per key, and ``weight`` says how many of the ``total`` facts have it.  The keys with
+    over a thousandth of the facts, a thousand at most, are broadcast; all others are joined by a shuffle.
+    """
+    hot = dim.where(F.col(weight) * 1000 > total).drop(weight)
+    cold = dim.where(F.col(weight) * 1000 <= total).drop(weight)
+    known = [F.col(c) for c in facts.columns]
+    marked = facts.join(F.broadcast(hot.select(key, F.lit(True).alias("_hot"))), key, "left")
+    few = facts.join(F.broadcast(hot), key)
+    many = marked.where(F.col("_hot").isNull()).select(*known).join(cold, key)
+    return few.unionByName(many)
+
+
+def once_a_process(key: tuple, make):
+    """make(), kept under key for as long as this Python worker lives; functions sent by value have no globals that last."""
+    kept = sys.modules.setdefault("_quillstream_kept", types.ModuleType("_quillstream_kept")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

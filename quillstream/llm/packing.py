@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import byte_slices, written
+from quillstream.llm.common import byte_slices, once_a_process, written
 from quillstream.llm.tokens import ByteEncoder
 
 CAPACITY = 1024
@@ -108,7 +108,7 @@ def _cut(batches, path: str, capacity: int, end_id: int):
     import pyarrow as pa
     from pyspark import TaskContext
 
-    encode, part, seen = ByteEncoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
+    encode, part, seen = once_a_process(("byte", path), lambda: ByteEncoder(path)), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
     end = np.array([end_id], dtype=np.uint32)
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("rank_in_part", pa.int64())])
     for whole in batches:

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import byte_slices, written
+from quillstream.llm.common import byte_slices, once_a_process, written
 from quillstream.llm.tokens import WordEncoder
 
 MAGIC = b"QRP1"
@@ -34,53 +34,49 @@ TASK_BYTES = 24_000_000
 ROUNDS, RULES_A_ROUND, LEAST = 6, 1024, 16
 
 
-def _count_pairs(left: np.ndarray, right: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs with ``least`` occurrences or more as keys (left << 32 | right), and their counts."""
-    mixed = ((left * np.uint64(0x9E3779B1)) ^ (right * np.uint64(0x85EBCA77))) & np.uint64((1 << 20) - 1)
-    slot = mixed.astype(np.int64)
-    often = np.bincount(slot, minlength=1 << 20) >= least  # a slot's count bounds each of its pairs' counts
-    some = often[slot]
-    keys, n = np.unique((left[some] << np.uint64(32)) | right[some], return_counts=True)
-    return keys[n >= least], n[n >= least]
-
-
 def compress(ids: np.ndarray, lengths: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (pairs), rewritten symbols, and how many symbols each document has; documents have one id or more."""
     seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), dtype=bool)
     last[np.cumsum(lengths) - 1] = True
     rules = np.zeros((0, 2), dtype=np.uint32)
+    # Pairs are counted by hash slots first: a slot's count bounds that of each of its pairs.
+    narrow = terminals + ROUNDS * RULES_A_ROUND <= 1 << 16
+    key_type, shift, slots = (np.uint32, 16, 1 << 20) if narrow else (np.uint64, 32, 1 << 20)
+    factor, down = (key_type(0x9E3779B1), key_type(12)) if narrow else (key_type(0x9E3779B97F4A7C15), key_type(44))
     for _ in range(ROUNDS):
         if len(seq) < 2:
             break
-        inner = np.flatnonzero(~last[:-1])
-        left, right = seq[inner].astype(np.uint64), seq[inner + 1].astype(np.uint64)
-        keys, n = _count_pairs(left, right, LEAST)
-        if not len(keys):
+        key = (seq[:-1].astype(key_type) << key_type(shift)) | seq[1:]
+        slot = ((key * factor) >> down).astype(np.intp)
+        slot[last[:-1]] = slots  # no pair crosses documents
+        count = np.bincount(slot, minlength=slots + 1)
+        count[slots] = 0
+        often = np.sort(count[count >= LEAST])
+        least = int(often[max(0, len(often) - 2 * RULES_A_ROUND)]) if len(often) else LEAST
+        at = np.flatnonzero((count >= least)[slot])
+        near, home = key[at], slot[at]
+        found, n = np.unique(near, return_counts=True)
+        found, n = found[n >= least], n[n >= least]
+        if not len(found):
             break
-        chosen = np.sort(keys[np.lexsort((keys, -n))[:RULES_A_ROUND]])
-        by_left = np.zeros(terminals + len(rules) + 1, dtype=bool)
-        by_left[(chosen >> np.uint64(32)).astype(np.int64)] = True
-        near = by_left[seq[inner]]
-        at, pair = inner[near], (left[near] << np.uint64(32)) | right[near]
-        found = np.searchsorted(chosen, pair)
-        hit = chosen[np.minimum(found, len(chosen) - 1)] == pair
-        count_of = dict(zip(keys.tolist(), n.tolist()))
-        order = np.argsort(np.argsort([-count_of[k] for k in chosen.tolist()], kind="stable"), kind="stable")
+        chosen = found[np.argsort(-n, kind="stable")[:RULES_A_ROUND]]  # most frequent first, then by key
         none = len(chosen)
+        # Of chosen pairs that share a slot the most frequent one stays; another round may take the others.
+        rank_of, key_of = np.full(slots + 1, none, dtype=np.int32), np.zeros(slots + 1, dtype=key_type)
+        own = ((chosen * factor) >> down).astype(np.intp)[::-1]
+        rank_of[own], key_of[own] = np.arange(none - 1, -1, -1), chosen[::-1]
         rank = np.full(len(seq) + 1, none, dtype=np.int32)
-        rank[at[hit] + 1] = order[found[hit]]
-        here, before = rank[1:], rank[:-1]
-        after = np.append(rank[2:], none)
-        taken = np.flatnonzero((here < none) & (here < before) & (here <= after))  # of overlapping pairs the more frequent one
-        symbol = np.zeros(none, dtype=np.uint32)
-        symbol[order] = np.arange(none, dtype=np.uint32)
-        seq[taken] = terminals + len(rules) + symbol[here[taken]]
+        rank[at + 1] = np.where(key_of[home] == near, rank_of[home], none)
+        here, before, after = rank[1:-1], rank[:-2], rank[2:]
+        taken = np.flatnonzero((here < before) & (here <= after) & (here < none))  # of overlapping pairs the more frequent one
+        symbol = here[taken].astype(np.uint32)
+        seq[taken] = terminals + len(rules) + symbol
         last[taken] = last[taken + 1]
         stay = np.ones(len(seq), dtype=bool)
         stay[taken + 1] = False
         seq, last = seq[stay], last[stay]
-        rules = np.concatenate([rules, np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)])
+        rules = np.concatenate([rules, np.stack([chosen >> key_type(shift), chosen & key_type((1 << shift) - 1)], axis=1).astype(np.uint32)])
     ends = np.flatnonzero(last) + 1
     return rules, seq, np.diff(ends, prepend=0)
 
@@ -157,7 +153,7 @@ def _encode(batches, path: str, end_id: int, shard_ids: int):
     import pyarrow as pa
     from pyspark import TaskContext
 
-    encode = WordEncoder(path)
+    encode = once_a_process(("word", path), lambda: WordEncoder(path))
     terminals, end = encode.library.get_vocab_size(), np.array([end_id], dtype="<u4").tobytes()
     part, made, names, docs, held = TaskContext.get().partitionId(), 0, [], [], 0
 
@@ -169,7 +165,7 @@ def _encode(batches, path: str, end_id: int, shard_ids: int):
 
     for whole in batches:
         for batch in byte_slices(whole, most=1_000_000):
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode([t or "" for t in batch.column("text").to_pylist()])):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), map(encode, batch.column("text").to_pylist())):
                 if held and held + len(ids) > 4 * shard_ids:
                     yield shard()
                 names.append(doc_id)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 #: A cache of words is emptied at so many entries, which bounds a worker's memory.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 250_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -56,20 +56,49 @@ class ByteEncoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
-class WordEncoder:
+class WordEncoder(dict):
     """Ids of a BPE file whose pieces never cross white space, as little-endian 32-bit bytes.
 
-    The file's normalizer drops white space between pieces, so a text's ids are those of its
-    chunks between spaces and line ends; each new chunk goes to the library once.
+    The file's normalizer drops white space between pieces, so a text's ids are those of its chunks
+    between spaces and line ends.  This is the cache of chunks: a new one goes to the library, a word of
+    lower-case letters straight to its merges, since the steps before them leave such a word as it is.
     """
 
     def __init__(self, path: str):
+        import re
+
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.library = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _chunks(self, text: str) -> list[str]:
+        self.merges = self.library.model
+        self.letters = {b: c for c, b in _byte_letters().items()}
+        self.ended = re.compile(r"([^\W\d_]+)([.,;:!?#$%&*|]+)")
+        self.old: dict[str, bytes] = {}  # what the cache held when it was last full
+
+    def __missing__(self, chunk: str) -> bytes:
+        known = self.old.get(chunk)
+        if known is None:
+            known = self._new(chunk)
+        if len(self) >= CACHE_ENTRIES:
+            self.old = dict(self)
+            self.clear()
+        self[chunk] = known
+        return known
+
+    def _new(self, chunk: str) -> bytes:
+        from array import array
+
+        if chunk.isalpha() and chunk == chunk.lower() and (chunk.isascii() or max(chunk) < "\u0100"):
+            word = chunk if chunk.isascii() else "".join([self.letters[b] for b in chunk.encode()])
+            ids = [t.id for t in self.merges.tokenize(word)]
+        elif cut := self.ended.fullmatch(chunk):  # letters and marks are pieces of their own
+            return self[cut[1]] + self[cut[2]]
+        else:
+            ids = self.library.encode(chunk, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
+
+    def __call__(self, text: str) -> bytes:
         # Case is folded first where that cannot differ from the library's folding, so that fewer chunks are new.
         if "<|" not in text:
             try:
@@ -78,22 +107,4 @@ class WordEncoder:
                 pass
             else:
                 text = text.lower()
-        return text.replace("\n", " ").split(" ")
-
-    def _learn(self, new: list[str]) -> None:
-        import numpy as np
-
-        for chunk, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[chunk] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_ENTRIES:
-            self.known = {"": b""}
-        split = [self._chunks(t) for t in texts]
-        known = self.known
-        new = {c for chunks in split for c in chunks} - known.keys()
-        ended = {c: core for c in new if (core := c.rstrip(".,")) != c and core.isalpha()}
-        self._learn([*((new - ended.keys()) | ((set(ended.values()) | {c[len(core):] for c, core in ended.items()}) - known.keys()))])
-        for c, core in ended.items():
-            known[c] = known[core] + known[c[len(core):]]
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
