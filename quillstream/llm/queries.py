@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import decontam, langid, packing, quality, repair, sharding, simhash, toxicity
+import corpus_pipeline
+from quillstream.llm import decontam, langid, licenses, packing, pii, quality, repair, sharding, simhash, toxicity
 from quillstream.llm.common import table
 
 
@@ -48,7 +49,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def op9_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +61,17 @@ def op9_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_shards(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.annotate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_toxicity, op4_decontamination, op5_best_fit_packing, op6_language_id, op7_simhash, op9_repair_tokens)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_toxicity, op4_decontamination, op5_best_fit_packing, op6_language_id, op7_simhash, op8_license_scan, op9_repair_tokens, op10_personal_data, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -31,7 +31,7 @@ END_ID = 2
 SHARD_IDS = 1_500_000
 TASK_BYTES = 24_000_000
 #: Rounds of replacement, rules a round may add, and the least occurrences of a pair worth a rule.
-ROUNDS, RULES_A_ROUND, LEAST = 6, 1024, 16
+ROUNDS, RULES_A_ROUND, LEAST = 4, 2048, 16
 
 
 def compress(ids: np.ndarray, lengths: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

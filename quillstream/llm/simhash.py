@@ -59,13 +59,17 @@ def _fingerprints(batches):
     for whole in batches:
         for batch in byte_slices(whole):
             values = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(values.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every document."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(_fingerprints, "doc_id long, fp long")
+    """doc_id, text_hash (xxhash64 of the text, null as empty) and fp (the fingerprint as a signed long) of every document."""
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(docs).alias("text_hash"), F.col("text").cast("string").alias("text"))
+    return narrow.mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long")
+
+
+def text_hash(docs: DataFrame):
+    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
 
 
 def agreement(distinct: DataFrame) -> tuple[int, np.ndarray]:
@@ -298,7 +302,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id and n_same (documents with that fingerprint) of every document.
+    """doc_id, text_hash, fingerprint (16 hex digits), component_id and n_same (documents with that fingerprint) of every document.
 
     A null text, or one without words, has fingerprint zero and is linked like any other; a text shorter than a
     shingle is one shingle.  Rows with one doc_id are linked by their own texts; a row without a doc_id takes part
@@ -315,4 +319,21 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     linked = join_skewed(member.select("fp", "root"), group, "root", "n_members", member.count()).select("fp", "component_id")
     by_print = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "n_same", F.col("n_same").alias("weight"))
     joined = join_skewed(each, by_print, "fp", "weight", total)
-    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_same")
+    return joined.select("doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_same")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The documents that name their component, with all their columns: one of each group of near-duplicates.
+
+    Rows of one doc_id and text count as one document.  In a component without any doc_id all rows stay.
+    """
+    found = written(near_duplicates(docs, radius).select("doc_id", "text_hash", "component_id"), "near-duplicates")
+    keys = [F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash")]
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_doc_id")) & (text_hash(docs) == F.col("_text_hash"))
+    out = found.where("component_id is not null and not doc_id <=> component_id").select(*keys).distinct()
+    kept = docs.join(out, same, "left_anti")
+    again = found.where("doc_id <=> component_id and component_id is not null").groupBy(*keys).count().where("count > 1").drop("count")
+    if again.isEmpty():
+        return kept
+    repeated = kept.join(again, same, "left_semi")
+    return kept.join(again, same, "left_anti").unionByName(repeated.dropDuplicates(["doc_id", "text"]))

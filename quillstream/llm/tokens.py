@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 #: A cache of words is emptied at so many entries, which bounds a worker's memory.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 450_000
 
 
 def _byte_letters() -> dict[str, int]:
