@@ -82,7 +82,7 @@ def split_chapters(books: DataFrame, delimiter: str | None = None, profile: Prof
     lines = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), is_head(x).alias("head")))
     heads = let(lines, lambda ls: F.concat(F.array(F.lit(0)), F.filter(F.transform(ls, lambda x, i: F.when(x["head"], i + 1)), lambda i: i.isNotNull())))
     cut = chosen.where(F.col("_p").isNotNull()).select("book_id", "_p", lines.alias("ls"), heads.alias("starts"))
-    sections = cut.select("book_id", "_p", "ls", "starts", F.posexplode("starts").alias("k", "start"))
+    sections = cut.select("book_id", "_p", "ls", "starts", F.posexplode_outer("starts").alias("k", "start"))  # outer: else the optimizer works the arrays out again to see if they are empty
     # starts[k] is the line after heading k (k = 0: the book's first line).
     stop = F.coalesce(F.get("starts", F.col("k") + 1) - 1, F.size("ls"))
     body = F.array_join(F.transform(F.slice("ls", F.col("start") + 1, F.greatest(stop - F.col("start"), F.lit(0))), lambda x: x["line"]), "\n")

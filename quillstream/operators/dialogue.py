@@ -126,10 +126,10 @@ def compile_utterances(chapters: DataFrame, cast_keys: DataFrame | None = None,
         return let(inline_override(paragraph), lambda o: let(segments(o["text"], profile, single), lambda parts: F.struct(
             o.alias("o"), F.when(F.size(parts) > 0, parts).otherwise(empty).alias("parts"), (F.size(parts) == 0).alias("plain"))))
 
-    exploded = keyed.select("book_id", "chapter_index", "_cast", F.posexplode(F.transform(paragraphs(F.col("raw_text")), of)).alias("para", "p"))
+    exploded = keyed.select("book_id", "chapter_index", "_cast", F.posexplode_outer(F.transform(paragraphs(F.col("raw_text")), of)).alias("para", "p")).where(F.col("para").isNotNull())
     # A paragraph without a segment, as one that was only an override, is one narration of whoever was named.
     alone = F.array(F.struct(F.col("p.o.text").alias("text"), F.lit(False).alias("is_dialogue"), F.lit(-1).alias("s"), F.lit(-1).alias("e"))).cast(SEGMENTS)
-    rows = exploded.select("book_id", "chapter_index", "_cast", "para", F.col("p.o").alias("o"), F.col("p.plain").alias("plain"), F.posexplode(F.when(F.col("p.plain"), alone).otherwise(F.col("p.parts"))).alias("seg", "g"))
+    rows = exploded.select("book_id", "chapter_index", "_cast", "para", F.col("p.o").alias("o"), F.col("p.plain").alias("plain"), F.posexplode_outer(F.when(F.col("p.plain"), alone).otherwise(F.col("p.parts"))).alias("seg", "g"))
     rows = rows.where(F.col("plain") | ~is_blank(F.col("g.text")))
     said = attribution(said_context(F.col("o.text"), F.col("g.s"), F.col("g.e")), F.col("_cast"), profile)
     named = F.col("o.character") != ""

@@ -42,7 +42,7 @@ def _chapters(spark, sf):
 def _paragraphs(spark, sf):
     """Paragraphs of all chapters: para_no, text."""
     c = _chapters(spark, sf)
-    return c.select("book_id", "chapter_index", F.posexplode(D.paragraphs(F.col("raw_text"))).alias("para_no", "text")).withColumn("para_no", F.col("para_no").cast("long"))
+    return c.select("book_id", "chapter_index", F.posexplode_outer(D.paragraphs(F.col("raw_text"))).alias("para_no", "text")).where("para_no is not null").withColumn("para_no", F.col("para_no").cast("long"))
 
 
 @query
@@ -52,7 +52,7 @@ def compile_utterances(spark, sf):
 
 @query
 def dialogue_segments(spark, sf):
-    return _paragraphs(spark, sf).select("book_id", "chapter_index", "para_no", F.posexplode(D.segments(F.col("text"))).alias("seg_no", "g")).select("book_id", "chapter_index", "para_no", F.col("seg_no").cast("long").alias("seg_no"), "g.text", "g.is_dialogue", F.col("g.s").cast("long").alias("start_at"), F.col("g.e").cast("long").alias("end_at"))
+    return _paragraphs(spark, sf).select("book_id", "chapter_index", "para_no", F.posexplode_outer(D.segments(F.col("text"))).alias("seg_no", "g")).where("seg_no is not null").select("book_id", "chapter_index", "para_no", F.col("seg_no").cast("long").alias("seg_no"), "g.text", "g.is_dialogue", F.col("g.s").cast("long").alias("start_at"), F.col("g.e").cast("long").alias("end_at"))
 
 
 @query
@@ -165,7 +165,7 @@ def voice_info(spark, sf):
 def _contexts(spark, sf):
     """Every quoted span with its context."""
     p = _paragraphs(spark, sf)
-    spans = p.select("book_id", "chapter_index", "para_no", "text", F.posexplode(D.quoted_spans(F.col("text"))).alias("span_no", "q"))
+    spans = p.select("book_id", "chapter_index", "para_no", "text", F.posexplode_outer(D.quoted_spans(F.col("text"))).alias("span_no", "q")).where("span_no is not null")
     return spans.select("book_id", "chapter_index", "para_no", F.col("span_no").cast("long").alias("span_no"), D.said_context(F.col("text"), F.col("q.s"), F.col("q.e")).alias("context"))
 
 
