@@ -93,3 +93,12 @@ def once_a_process(key: tuple, make):
     if key not in kept:
         kept[key] = make()
     return kept[key]
+
+
+def settled(df: DataFrame, *columns: Column) -> DataFrame:
+    """df with columns worked out once for each row.
+
+    A filter above a plain projection is pushed below it and works its columns out again for every mention; it
+    can't be pushed below a generator.
+    """
+    return df.select("*", F.inline_outer(F.array(F.struct(*columns))))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import fold_case, let, written
+from quillstream.llm.common import fold_case, let, settled, written
 
 #: Label, usual words, mandatory key phrases.
 TEMPLATES = (
@@ -104,25 +104,27 @@ def scan(docs: DataFrame) -> DataFrame:
     rarest_first = strings(sorted(weight, key=lambda w: (-weight[w], w)))
 
     key = F.struct(F.col("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"))
-    wide = docs.select(F.col("doc_id"), key.alias("key"), normalised(text).alias("norm")).select("doc_id", "key", "norm", word_array(F.col("norm")).alias("words"))
+    normal = settled(docs.select("doc_id", key.alias("key"), text.alias("_text")), normalised(F.col("_text")).alias("norm")).drop("_text")
 
     # Documents that have all key phrases of a template, with their rarest licence words and where these stand.
     verified = F.filter(F.array(*[F.when(_all(F.contains("norm", F.lit(f" {p} ")) for p in phrases), F.lit(t)) for t, (_, _, phrases) in enumerate(TEMPLATES)]), lambda x: x.isNotNull())
-    some = wide.where(_any(_all(F.contains("norm", F.lit(f" {p} ")) for p in phrases) for _, _, phrases in TEMPLATES)).dropDuplicates(["key"])
-    looked_up = some.select("key", verified.alias("verified"), F.slice(F.array_intersect(rarest_first, "words"), 1, LOOKED_UP).alias("rare"), F.posexplode("words").alias("place", "word"))
+    some = settled(normal, verified.alias("verified")).where(F.size("verified") > 0)
+    found = settled(some.select("key", "verified", "norm"), word_array(F.col("norm")).alias("words")).select("key", "verified", "words", F.slice(F.array_intersect(rarest_first, "words"), 1, LOOKED_UP).alias("rare"))
+    looked_up = found.select("key", "verified", "rare", F.posexplode_outer("words").alias("place", "word"))
     hits = looked_up.where(F.array_contains("rare", F.col("word")))
     index = F.broadcast(spark.createDataFrame(postings, "template int, word string, at int, weight double"))  # one row per template word
     # What a template's looked-up words would weigh together, each place once.
     sought = F.aggregate(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(w).alias("w"), F.lit(x).alias("x")) for t, w, _, x in postings]), F.lit(0.0), lambda a, p: a + F.when((p["t"] == F.col("template")) & F.array_contains("rare", p["w"]), p["x"]).otherwise(0.0))
-    aligned = hits.join(index, "word").where(F.array_contains("verified", F.col("template"))).groupBy("key", "template", (F.col("place") - F.col("at")).alias("relative")).agg(F.sum("weight").alias("found"), F.first("rare").alias("rare"))
-    scored = aligned.groupBy("key", "template").agg(F.max("found").alias("found"), F.first("rare").alias("rare")).select("key", "template", (F.col("found") / sought).alias("share"))
+    met = hits.join(index, "word").where(F.array_contains("verified", F.col("template"))).select("key", "template", "rare", "at", (F.col("place") - F.col("at")).alias("relative"), "weight").distinct()
+    aligned = met.groupBy("key", "template", "rare", "relative").agg(F.sum("weight").alias("found"))
+    scored = aligned.groupBy("key", "template", "rare").agg(F.max("found").alias("found")).select("key", "template", (F.col("found") / sought).alias("share"))
     names = strings(label for label, _, _ in TEMPLATES)
     method = scored.groupBy("key").agg(F.max("share").alias("best"), F.collect_set(F.when(F.col("share") >= THRESHOLD, F.get(names, F.col("template")))).alias("found_labels"))
     method = written(method.select(F.col("key.doc_id").alias("m_id"), F.col("key.h").alias("m_h"), "best", "found_labels"), "license-labels")
 
     starts = F.array_sort(F.flatten(F.array(*[phrase_starts(F.col("norm"), F.col("words"), p) for p, _ in BASE])))
     base = F.filter(F.array(*[F.when(F.contains("norm", F.lit(f" {p} ")), F.lit(label)) for p, label in BASE]), lambda x: x.isNotNull())
-    plain = wide.select(F.col("doc_id"), "key", F.size("words").cast("long").alias("n_words"), let(starts, lambda s: F.struct(F.size(s).cast("long").alias("n"), F.get(s, F.lit(0)).alias("a"), F.get(s, F.size(s) - 1).alias("b"))).alias("s"), base.alias("base"))
+    plain = settled(normal, word_array(F.col("norm")).alias("words")).select("doc_id", "key", F.size("words").cast("long").alias("n_words"), let(starts, lambda s: F.struct(F.size(s).cast("long").alias("n"), F.get(s, F.lit(0)).alias("a"), F.get(s, F.size(s) - 1).alias("b"))).alias("s"), base.alias("base"))
     joined = plain.join(method, F.col("key.doc_id").eqNullSafe(F.col("m_id")) & (F.col("key.h") == F.col("m_h")), "left")
     labels = F.array_sort(F.array_union("base", F.coalesce("found_labels", F.array().cast("array<string>"))))
     return joined.select(
@@ -137,10 +139,3 @@ def _all(conditions) -> Column:
     for c in rest:
         first = first & c
     return first
-
-
-def _any(conditions) -> Column:
-    first, *rest = conditions
-    for c in rest:
-        first = first | c
-    return first
