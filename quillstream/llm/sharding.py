@@ -8,7 +8,10 @@ exchanged; each shard is permuted by itself.  The law is ``rows``: shards' count
 by one at most.
 
 Permutations follow seeded hashes of the row, so a task that is run again gives the
-same rows the same places.
+same rows the same places.  A block's permutation is worked out on the hashes alone;
+where it is cut for a shard is a hash, too, so that the rows themselves, texts and
+all, go through one exchange, to their shards.  Only if some rows are equal in doc_id and
+text, which no hash tells apart, the rows meet in their blocks as well.
 """
 
 from __future__ import annotations
@@ -19,10 +22,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstream.llm.common import written
+
 SHARDS = 24
 SEED = 20_240_229
-#: Rows in a block and in a section of a shard, about; and the least numbers of both.
-BLOCK_ROWS, SECTION_ROWS, LEAST_BLOCKS, LEAST_SECTIONS = 200_000, 200_000, 256, 16
+#: Rows in a section of a shard, about, and in a block where their number allows; the least numbers of both, and the most
+#: blocks, which bounds what is broadcast to MOST_BLOCKS * shards cuts.
+BLOCK_ROWS, SECTION_ROWS, LEAST_BLOCKS, MOST_BLOCKS, LEAST_SECTIONS = 200_000, 50_000, 256, 4096, 16
 #: From so many rows on, draws are made here instead of by numpy, whose sampler ends there.
 NUMPY_ROWS = 1_000_000_000
 
@@ -73,54 +79,48 @@ def communication_matrix(blocks: list[int], shards: int, seed: int = SEED) -> np
     return out
 
 
-def _sent(rows: DataFrame, matrix: DataFrame) -> DataFrame:
+def _ranked(rows: DataFrame, matrix: DataFrame, *ties: str) -> DataFrame:
     """Adds the shard: a row's rank in its block's permutation falls in one shard's part of it."""
-    rank = F.row_number().over(Window.partitionBy("_block").orderBy("_first", *_identity(rows)))
+    rank = F.row_number().over(Window.partitionBy("_block").orderBy("_first", "_tie", *ties))
     placed = rows.withColumn("_rank", rank).join(F.broadcast(matrix), "_block")
-    return placed.withColumn("shard", F.size(F.filter("_ends", lambda e: e < F.col("_rank")))).drop("_rank", "_ends", "_first")
-
-
-def _identity(rows: DataFrame) -> list[Column]:
-    """What settles ties between equal hashes."""
-    return [F.col(c) for c in ("_id", "_text") if c in rows.columns]
+    return placed.withColumn("shard", F.size(F.filter("_ends", lambda e: e < F.col("_rank")))).drop("_ends")
 
 
 def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """docs with shard (0 on) and slot (gapless from 0 in each shard), every row once, in a uniformly random order.
 
     Shards' counts differ by one at most.  Rows are told apart by doc_id and text, either of which may be null; equal
-    rows get places of their own.  An empty table gives no rows.  Columns of docs named shard or slot are replaced.
-
-    Two exchanges carry the rows; a narrow pass before them counts what each section of a shard will hold.  On the
-    driver are the matrix (blocks x shards) and the sections' counts, one number for about BLOCK_ROWS / shards rows.
+    rows get places of their own.  An empty table gives no rows.  Columns of docs named shard or slot are replaced; others
+    may have any name.
     """
     spark = docs.sparkSession
-    kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
-    own = [F.col(f"`{c}`") for c in kept]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")]).alias("_row")
     text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("string")
     total = docs.count()
-    blocks = max(LEAST_BLOCKS, -(-total // BLOCK_ROWS))
+    blocks = min(MOST_BLOCKS, max(LEAST_BLOCKS, -(-total // BLOCK_ROWS)))
     sections = max(LEAST_SECTIONS, -(-total // (SECTION_ROWS * shards)))
 
     def keyed(*columns: Column) -> DataFrame:
         draw = lambda k: F.xxhash64(F.lit(seed + k), doc_id, text)
-        return docs.select(*columns, F.pmod(draw(0), F.lit(blocks)).cast("int").alias("_block"), draw(1).alias("_first"), F.pmod(draw(2), F.lit(sections)).cast("int").alias("_section"), draw(3).alias("_second"))
+        return docs.select(*columns, F.pmod(draw(0), F.lit(blocks)).cast("int").alias("_block"), draw(1).alias("_first"), draw(4).alias("_tie"), F.pmod(draw(2), F.lit(sections)).cast("int").alias("_section"), draw(3).alias("_second"))
 
-    sizes = {r["_block"]: r["count"] for r in keyed().groupBy("_block").count().collect()}
+    keys = written(keyed().drop("_second"), "shard-keys")
+    sizes = {r["_block"]: r["count"] for r in keys.groupBy("_block").count().collect()}
     matrix = communication_matrix([sizes.get(b, 0) for b in range(blocks)], shards, seed)
     ends = [(b, row.tolist()) for b, row in enumerate(np.cumsum(matrix, axis=1))]
     matrix_rows = spark.createDataFrame(ends, "_block int, _ends array<long>")
 
-    held = {(r["shard"], r["_section"]): r["count"] for r in _sent(keyed().drop("_second"), matrix_rows).groupBy("shard", "_section").count().collect()}
-    begins, at = [], 0
-    for s in range(shards):
-        at = 0
-        for k in range(sections):
-            begins.append((s, k, at))
-            at += held.get((s, k), 0)
-    begin_rows = spark.createDataFrame(begins, "shard int, _section int, _begin long")
-
-    rows = keyed(*own, doc_id.alias("_id"), text.alias("_text")) if not {"_id", "_text"} & set(kept) else keyed(*own)
-    sent = _sent(rows, matrix_rows)
-    order = F.row_number().over(Window.partitionBy("shard", "_section").orderBy("_second", *_identity(sent)))
-    return sent.withColumn("_order", order).join(F.broadcast(begin_rows), ["shard", "_section"]).select(*own, "shard", (F.col("_begin") + F.col("_order") - 1).alias("slot"))
+    dealt = written(_ranked(keys, matrix_rows), "shard-ranks")
+    before = Window.partitionBy("shard").orderBy("_section").rowsBetween(Window.unboundedPreceding, -1)
+    begin_rows = dealt.groupBy("shard", "_section").count().select("shard", "_section", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_begin"))
+
+    if dealt.groupBy("_block", "_first", "_tie").count().where("count > 1").isEmpty():
+        # A shard's part of a block ends with a hash; a row goes to the first part whose end is not before it.
+        cuts = dealt.groupBy("_block", "shard").agg(F.max(F.struct("_first", "_tie")).alias("end"))
+        cuts = cuts.groupBy("_block").agg(F.array_sort(F.collect_list(F.struct("shard", "end"))).alias("_cuts"))
+        rows = keyed(row).join(F.broadcast(cuts), "_block")  # MOST_BLOCKS * shards cuts at most
+        sent = rows.withColumn("shard", F.element_at(F.filter("_cuts", lambda c: c["end"] >= F.struct("_first", "_tie")), 1)["shard"]).drop("_cuts")
+    else:
+        sent = _ranked(keyed(row), matrix_rows, "_row.doc_id", "_row.text")
+    order = F.row_number().over(Window.partitionBy("shard", "_section").orderBy("_second", "_tie", "_row.doc_id", "_row.text"))
+    return sent.withColumn("_order", order).join(begin_rows, ["shard", "_section"]).select("_row.*", "shard", (F.col("_begin") + F.col("_order") - 1).alias("slot"))
