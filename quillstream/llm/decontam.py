@@ -207,5 +207,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no passage of a test item was found, with all their columns."""
     bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash")).distinct()
-    own = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(bad, (own == F.col("_text_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")), "left_anti")
+    own = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return docs.join(bad, (own == bad["_text_hash"]) & docs["doc_id"].cast("long").eqNullSafe(bad["_doc_id"]), "left_anti")

@@ -39,8 +39,10 @@ class CapacityTree:
 
     def tightest(self, need: int) -> int | None:
         """The least remaining capacity of at least ``need`` that an open bin has."""
+        if need >= self.leaves:
+            return None
         k = need + self.leaves
-        if need < self.leaves and self.open[k]:
+        if self.open[k]:
             return need
         while k > 1:
             if k % 2 == 0 and self.open[k + 1]:

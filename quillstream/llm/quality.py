@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import BLANKS, let, words, written
+from quillstream.llm.common import BLANKS, let, settled, words, written
 
 #: Trusted documents that make the target, at most.
 SAMPLE_DOCS = 20_000
@@ -75,10 +75,10 @@ def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
     # The BUCKETS ratios in order, as one constant of the plan.
     ordered = [repr(r["ratio"]) for r in ratios(docs, labels).orderBy("bucket").collect()]
     lookup = F.split(F.lit(",".join(ordered)), ",").cast("array<double>")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    text = F.col("_text")
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, BLANKS, "") != "")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
-    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in names]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names])
 
     def of(w: Column) -> Column:
         single = F.aggregate(w, F.lit(0.0), lambda a, x: a + F.get(lookup, bucket(x)))
@@ -86,12 +86,13 @@ def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
         double = F.aggregate(F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), second, lambda a, b: bucket(a, b)), F.lit(0.0), lambda a, b: a + F.get(lookup, b))
         return F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words"), ((single + double) / F.nullif(2 * F.size(w) - 1, F.lit(-1))).alias("score"))
 
-    found = docs.select(
-        *own,
+    found = settled(
+        docs.select(row.alias("_row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")),
         F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         let(words(text), of).alias("_w"),
     )
     failed = (F.col("_w.n_words") < LEAST_WORDS) | (100 * F.col("_w.n_repeat_words") > MOST_REPEATED * F.col("_w.n_words"))
-    return found.select(*own, "_w.n_words", "word_chars", "n_symbols", "n_dup_lines", "_w.n_repeat_words", failed.alias("base_failed"), "_w.score", (~failed & F.coalesce(F.col("_w.score") >= THRESHOLD, F.lit(True))).alias("kept"))
+    kept = ~failed & F.coalesce(F.col("_w.score") >= THRESHOLD, F.lit(True))
+    return found.select("_row.*", "_w.n_words", "word_chars", "n_symbols", "n_dup_lines", "_w.n_repeat_words", failed.alias("base_failed"), "_w.score", kept.alias("kept"))

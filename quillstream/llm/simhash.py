@@ -329,11 +329,14 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     found = written(near_duplicates(docs, radius).select("doc_id", "text_hash", "component_id"), "near-duplicates")
     keys = [F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash")]
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_doc_id")) & (text_hash(docs) == F.col("_text_hash"))
+
+    def same(left: DataFrame, right: DataFrame):
+        return left["doc_id"].cast("long").eqNullSafe(right["_doc_id"]) & (text_hash(left) == right["_text_hash"])
+
     out = found.where("component_id is not null and not doc_id <=> component_id").select(*keys).distinct()
-    kept = docs.join(out, same, "left_anti")
+    kept = docs.join(out, same(docs, out), "left_anti")
     again = found.where("doc_id <=> component_id and component_id is not null").groupBy(*keys).count().where("count > 1").drop("count")
     if again.isEmpty():
         return kept
-    repeated = kept.join(again, same, "left_semi")
-    return kept.join(again, same, "left_anti").unionByName(repeated.dropDuplicates(["doc_id", "text"]))
+    once = kept.join(again, same(kept, again), "left_anti")
+    return once.unionByName(kept.join(again, same(kept, again), "left_semi").dropDuplicates(["doc_id", "text"]))
