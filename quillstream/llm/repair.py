@@ -69,7 +69,16 @@ def compress(ids: np.ndarray, lengths: np.ndarray, terminals: int) -> tuple[np.n
         rank = np.full(len(seq) + 1, none, dtype=np.int32)
         rank[at + 1] = np.where(key_of[home] == near, rank_of[home], none)
         here, before, after = rank[1:-1], rank[:-2], rank[2:]
-        taken = np.flatnonzero((here < before) & (here <= after) & (here < none))  # of overlapping pairs the more frequent one
+        # Of overlapping pairs the more frequent one is taken; where a pair overlaps itself, as in a run of one id, every other one.
+        some = np.flatnonzero((here < none) & (here <= after))
+        own, left = here[some], before[some]
+        first = left != own
+        if first.all():
+            taken = some[own < left]
+        else:
+            runs = np.flatnonzero(here < none)
+            starts = np.maximum.accumulate(np.where(before[runs] != here[runs], runs, 0))
+            taken = some[(own <= left) & ((some - starts[np.searchsorted(runs, some)]) % 2 == 0)]
         symbol = here[taken].astype(np.uint32)
         seq[taken] = terminals + len(rules) + symbol
         last[taken] = last[taken + 1]
@@ -83,10 +92,10 @@ def compress(ids: np.ndarray, lengths: np.ndarray, terminals: int) -> tuple[np.n
 
 def expansion_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
     """How many ids each symbol stands for; a rule names only symbols before it."""
-    out = np.ones(terminals + len(rules), dtype=np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        out[terminals + k] = out[a] + out[b]
-    return out
+    out = [1] * terminals
+    for a, b in rules.tolist():
+        out.append(out[a] + out[b])
+    return np.array(out, dtype=np.int64)
 
 
 def pack_shard(doc_ids: list[int | None], docs: list[bytes], terminals: int) -> bytes:
@@ -123,11 +132,15 @@ class Shard:
         self.doc_ids = [int(d) if k else None for k, d in zip(index["known"], index["doc_id"])]
         self.first = np.append(index["first"].astype(np.int64), n_symbols)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths[self.seq])])  # ids before each symbol
-        flat: list[np.ndarray] = []
-        for a, b in rules.tolist():
-            flat.append(np.concatenate([np.array([s], dtype=np.uint32) if s < self.terminals else flat[s - self.terminals] for s in (a, b)]))
-        self.flat = np.concatenate([np.arange(self.terminals, dtype=np.uint32), *flat])
         self.at = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.empty(int(self.lengths.sum()), dtype=np.uint32)  # each symbol's ids, one symbol after the other
+        self.flat[:self.terminals] = np.arange(self.terminals)
+        flat, at, size = self.flat, self.at.tolist(), self.lengths.tolist()
+        to = self.terminals
+        for a, b in rules.tolist():
+            for s in (a, b):
+                flat[to:to + size[s]] = flat[at[s]:at[s] + size[s]]
+                to += size[s]
 
     def symbols(self, a: int, b: int) -> np.ndarray:
         """The ids of the symbols a to b."""
