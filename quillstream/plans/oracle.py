@@ -228,6 +228,15 @@ texts AS (SELECT c.chapter_index, c.tag_no, t.speaker, t.emotion, string_agg(c.x
 imported AS (SELECT chapter_index, CAST(row_number() OVER (PARTITION BY chapter_index ORDER BY tag_no) - 1 AS BIGINT) AS line_index, speaker, emotion, CASE WHEN starts_with(text, '"') THEN 'dialogue' ELSE 'narration' END AS type, text FROM texts)"""
 
 
+def _one_by_one(people: str, taken: str) -> str:
+    """Speakers p (k from 1, speaker, gender) one after the other, each with the best voice when those before have taken theirs."""
+    raw, reason = _parts("list_contains(w.used, v.voice_id)")
+    return f"""{people},
+walk AS (SELECT CAST(0 AS BIGINT) AS k, {taken} AS used, '' AS speaker, '' AS voice_id, CAST(0 AS DOUBLE) AS raw, '' AS reason
+  UNION ALL SELECT k, list_append(used, voice_id), speaker, voice_id, raw, reason FROM (
+    SELECT p.k, w.used, p.speaker, v.voice_id, {raw} AS raw, {reason} AS reason, row_number() OVER (ORDER BY {raw} DESC, v.voice_id) AS place FROM walk w JOIN p ON p.k = w.k + 1 CROSS JOIN info v) WHERE place = 1)"""
+
+
 def oracle_sql() -> dict[str, str]:
     raw_minutes = "n_words / 150.0"
     words = r"CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT)"
@@ -306,6 +315,11 @@ UNION ALL SELECT book_id, 2 * k - 1, 'silence', NULL, 2000 FROM numbered WHERE k
         "speaker_samples": f"WITH {TALK}, numbered AS (SELECT speaker, row_number() OVER (PARTITION BY speaker ORDER BY chapter_index, line_index) AS sample_no, chapter_index, line_index, text FROM talk) SELECT * FROM numbered WHERE sample_no <= 5",
         "voice_scores": f"WITH {scores} SELECT speaker, voice_id, round(greatest(0.0, least(1.0, (raw + 1.0) / 2.0)), 9) AS score, reason FROM scored",
         "voice_topk": f"WITH {scores}, ranked AS (SELECT speaker, row_number() OVER (PARTITION BY speaker ORDER BY raw DESC, voice_id) AS rank, voice_id FROM scored) SELECT * FROM ranked WHERE rank <= 3",
+        "voice_suggest_all": f"WITH RECURSIVE {_voice_info()}, {PEOPLE}, " + _one_by_one("p AS (SELECT CAST(row_number() OVER (ORDER BY seq) AS BIGINT) AS k, speaker, gender FROM people)", "CAST([] AS VARCHAR[])") + " SELECT k - 1 AS seq, speaker, voice_id, round(greatest(0.0, least(1.0, (raw + 1.0) / 2.0)), 9) AS score, reason FROM walk WHERE k > 0",
+        "cast_apply": f"WITH RECURSIVE {_voice_info()}, {CAST}, " + _one_by_one("p AS (SELECT CAST(row_number() OVER (ORDER BY role) AS BIGINT) AS k, role AS speaker, CAST(NULL AS VARCHAR) AS gender FROM (SELECT DISTINCT role FROM conversations) WHERE role NOT IN (SELECT speaker_key FROM casting))", "[" + ", ".join(f"'{v}'" for _, _, v, _ in views.CAST) + "]") + " SELECT speaker_key, name, voice, emotion FROM casting UNION ALL SELECT speaker, speaker, voice_id, NULL FROM walk WHERE k > 0",
+        "render_log": f"""WITH {TALK}, stats AS (SELECT chapter_index, count(*) AS utterance_count, CAST(sum(length(text)) AS BIGINT) AS total_chars FROM talk GROUP BY chapter_index)
+SELECT s.chapter_index, s.utterance_count, s.total_chars, CASE s.chapter_index % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'cached' ELSE 'done' END AS status, CASE WHEN s.chapter_index % 5 = 0 THEN 'no voice' END AS error,
+  CASE WHEN s.chapter_index % 5 = 0 THEN CAST(1 AS BIGINT) END AS error_line, t.speaker AS error_speaker, substr(t.text, 1, 80) AS error_preview FROM stats s LEFT JOIN talk t ON s.chapter_index % 5 = 0 AND t.chapter_index = s.chapter_index AND t.line_index = 1""",
         "cast_upsert": f"""WITH {CAST}, new AS (SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'user' ELSE lower(n_name) END AS speaker_key, CASE WHEN n_nationkey % 2 = 0 THEN ' USER ' ELSE n_name END AS name, 'v' || CAST(n_nationkey AS VARCHAR) AS voice, n_nationkey AS seq FROM nation),
 everyone AS (SELECT speaker_key, name, voice, emotion, -1 AS seq FROM casting UNION ALL SELECT speaker_key, name, voice, NULL, seq FROM new), latest AS (SELECT *, row_number() OVER (PARTITION BY speaker_key ORDER BY seq DESC) AS r FROM everyone) SELECT speaker_key, name, voice, emotion FROM latest WHERE r = 1""",
         "manifest_upsert": "SELECT source AS book_id, CASE WHEN doc_id % 3 = 0 THEN 'failed' ELSE 'ok' END AS status, count(*) AS n, min(doc_id) AS first_chapter FROM documents GROUP BY 1, 2",

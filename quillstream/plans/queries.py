@@ -119,7 +119,9 @@ def _outcomes(spark, sf):
 
 @query
 def render_log(spark, sf):
-    return R.render_log(views.utterances(spark, sf), _outcomes(spark, sf)).select("chapter_index", "log")
+    log = R.render_log(views.utterances(spark, sf), _outcomes(spark, sf)).select("chapter_index", "log")
+    fields = "utterance_count long, total_chars long, status string, error string, error_line long, error_speaker string, error_preview string"
+    return log.select("chapter_index", F.from_json("log", fields).alias("l")).select("chapter_index", "l.*")
 
 
 @query
