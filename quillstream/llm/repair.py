@@ -32,6 +32,8 @@ SHARD_IDS = 1_500_000
 TASK_BYTES = 24_000_000
 #: Rounds of replacement, rules a round may add, and the least occurrences of a pair worth a rule.
 ROUNDS, RULES_A_ROUND, LEAST = 4, 2048, 16
+#: Slots that pairs are hashed to for counting, as a power of two: few enough to stay in a core's cache.
+SLOT_BITS = 18
 
 
 def compress(ids: np.ndarray, lengths: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -42,8 +44,8 @@ def compress(ids: np.ndarray, lengths: np.ndarray, terminals: int) -> tuple[np.n
     rules = np.zeros((0, 2), dtype=np.uint32)
     # Pairs are counted by hash slots first: a slot's count bounds that of each of its pairs.
     narrow = terminals + ROUNDS * RULES_A_ROUND <= 1 << 16
-    key_type, shift, slots = (np.uint32, 16, 1 << 20) if narrow else (np.uint64, 32, 1 << 20)
-    factor, down = (key_type(0x9E3779B1), key_type(12)) if narrow else (key_type(0x9E3779B97F4A7C15), key_type(44))
+    key_type, shift, slots = (np.uint32, 16, 1 << SLOT_BITS) if narrow else (np.uint64, 32, 1 << SLOT_BITS)
+    factor, down = (key_type(0x9E3779B1), key_type(32 - SLOT_BITS)) if narrow else (key_type(0x9E3779B97F4A7C15), key_type(64 - SLOT_BITS))
     for _ in range(ROUNDS):
         if len(seq) < 2:
             break

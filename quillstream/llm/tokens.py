@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+from array import array
 
+#: Marks that may end a chunk; none of them is part of a contraction.
+MARKS = ".,;:!?#$%&*|"
 #: A cache of words is emptied at so many entries, which bounds a worker's memory.
 CACHE_ENTRIES = 450_000
 
@@ -65,15 +68,12 @@ class WordEncoder(dict):
     """
 
     def __init__(self, path: str):
-        import re
-
         from tokenizers import Tokenizer
 
         super().__init__()
         self.library = Tokenizer.from_file(path)
-        self.merges = self.library.model
+        self.merges = self.library.model.tokenize
         self.letters = {b: c for c, b in _byte_letters().items()}
-        self.ended = re.compile(r"([^\W\d_]+)([.,;:!?#$%&*|]+)")
         self.old: dict[str, bytes] = {}  # what the cache held when it was last full
 
     def __missing__(self, chunk: str) -> bytes:
@@ -87,16 +87,17 @@ class WordEncoder(dict):
         return known
 
     def _new(self, chunk: str) -> bytes:
-        from array import array
-
-        if chunk.isalpha() and chunk == chunk.lower() and (chunk.isascii() or max(chunk) < "\u0100"):
-            word = chunk if chunk.isascii() else "".join([self.letters[b] for b in chunk.encode()])
-            ids = [t.id for t in self.merges.tokenize(word)]
-        elif cut := self.ended.fullmatch(chunk):  # letters and marks are pieces of their own
-            return self[cut[1]] + self[cut[2]]
-        else:
-            ids = self.library.encode(chunk, add_special_tokens=False).ids
-        return array("I", ids).tobytes()
+        if chunk.isalpha():
+            if chunk.isascii():
+                if chunk.islower():
+                    return array("I", [t.id for t in self.merges(chunk)]).tobytes()
+            elif chunk == chunk.lower() and max(chunk) < "\u0100":
+                return array("I", [t.id for t in self.merges("".join([self.letters[b] for b in chunk.encode()]))]).tobytes()
+        elif chunk and chunk[-1] in MARKS:  # letters and marks are pieces of their own
+            word = chunk.rstrip(MARKS)
+            if word.isalpha():
+                return self[word] + self[chunk[len(word):]]
+        return array("I", self.library.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
         # Case is folded first where that cannot differ from the library's folding, so that fewer chunks are new.
