@@ -43,6 +43,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_sample(draw: Column, n: int, total: int) -> Column:
+    """Whether a row is in a sample of about n of total rows, by a hash of it; all are if there are no more.
+
+    A bound on the hash, unlike a sort and a limit, brings no more rows together than it keeps.
+    """
+    return F.lit(True) if total <= n else F.pmod(draw, F.lit(1 << 31)) < F.lit(max(1, n * (1 << 31) // total))
+
+
 def let(value: Column, use) -> Column:
     """use(value), with value worked out once for each row however often use names it."""
     return F.element_at(F.transform(F.array(value), use), 1)

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import byte_slices
+from quillstream.llm.common import byte_slices, in_sample
 
 SAMPLE_DOCS, SAMPLE_CHARS = 96, 200
 #: Characters told apart: the most frequent of the training texts; all others, and the end of a segment, have codes of their own.
@@ -151,8 +151,13 @@ def normalised(text: str) -> str:
 def train(docs: DataFrame) -> Model:
     """Learns from text and lang of documents whose crc32(doc_id) mod 3 is not 1, a bounded sample of each lang."""
     open_rows = docs.where((F.crc32(F.col("doc_id").cast("string")) % 3 != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    narrow = open_rows.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id").alias("h"), F.substring(F.col("text").cast("string"), 1, SAMPLE_CHARS).alias("text")).where("text rlike '\\\\p{L}'")
-    ranked = narrow.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))).where(F.col("r") <= SAMPLE_DOCS)
+    have = {r["lang"]: r["n"] for r in open_rows.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("n")).collect()}  # one row per language
+    narrow = open_rows.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id").alias("h"), F.substring(F.col("text").cast("string"), 1, SAMPLE_CHARS).alias("text"))
+    drawn = F.lit(False)  # some more than the sample, as some have no letter
+    for lang, n in sorted(have.items()):
+        drawn = F.when(F.col("lang") == lang, in_sample(F.col("h"), 4 * SAMPLE_DOCS, n)).otherwise(drawn)
+    lettered = narrow.where(drawn).where("text rlike '\\\\p{L}'")
+    ranked = lettered.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))).where(F.col("r") <= SAMPLE_DOCS)
     texts: dict[str, str] = {}
     for r in ranked.orderBy("lang", "r").collect():  # SAMPLE_DOCS * SAMPLE_CHARS characters of each language
         texts[r["lang"]] = texts.get(r["lang"], "") + " " + normalised(r["text"])

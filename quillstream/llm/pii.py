@@ -6,7 +6,7 @@ span as one thing (shape, digits, checks, neighbours), and a dynamic program
 chooses the best division of the zone into spans and single tokens, boundaries and
 kinds together.  Base spans stay as they are; what the model finds beside them is added.
 
-The model is fitted by conditional likelihood on a bounded sample: zones of at most
+The model is fitted by conditional likelihood on a bounded sample: zones of about
 SAMPLE_DOCS documents that the base patterns explain in full, the same zones with spans
 rewritten in other usual forms, and numbers and keys that are nobody's data.
 """
@@ -22,7 +22,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import byte_slices
+from quillstream.llm.common import byte_slices, in_sample
 
 KINDS = ("email", "ip", "card", "phone")
 #: The longest span in tokens; tokens of context on either side of a zone's digits and signs; zones are cut at so many tokens.
@@ -378,9 +378,10 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def train(docs: DataFrame) -> Model:
-    """Fits the model on SAMPLE_DOCS documents with digits, those with the least hashes, 4000 characters of each at most."""
+    """Fits the model on documents with digits or @: all, or about SAMPLE_DOCS by their hashes, 4000 characters of each at most."""
     text = F.substring(F.col("text").cast("string"), 1, 4000)
-    rows = docs.select(text.alias("text"), F.xxhash64("doc_id", text).alias("h")).where("text rlike '[0-9@]'").orderBy("h", "text").limit(SAMPLE_DOCS).collect()
+    some = docs.select(F.xxhash64("doc_id", "text").alias("h"), text.alias("text")).where("text rlike '[0-9@]'")
+    rows = some.where(in_sample(F.col("h"), SAMPLE_DOCS, some.count())).orderBy("h", "text").collect()
     return fit([r["text"] for r in rows])
 
 

@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import BLANKS, let, settled, words, written
+from quillstream.llm.common import BLANKS, in_sample, let, settled, words, written
 
-#: Trusted documents that make the target, at most.
+#: Trusted documents that make the target, about, if there are more.
 SAMPLE_DOCS = 20_000
 #: Hash buckets, pseudo-counts per bucket, and the least mean log ratio that is kept.
 BUCKETS, SMOOTHING, THRESHOLD = 1 << 16, 0.5, -0.5
@@ -46,14 +46,14 @@ def bucket(*x: Column) -> Column:
 
 
 def trusted_sample(labels: DataFrame) -> DataFrame:
-    """The trusted documents whose counts make the target: all, or the SAMPLE_DOCS with the least hashes."""
+    """The trusted documents whose counts make the target: all, or about SAMPLE_DOCS, by their hashes."""
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    return good.where(in_sample(F.xxhash64("doc_id"), SAMPLE_DOCS, good.count()))
 
 
 def ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """bucket and ratio, the log ratio of its share in trusted documents to that in all, for every bucket; all 0 without trusted words."""
-    trusted = F.broadcast(trusted_sample(labels).select(F.col("doc_id").alias("_trusted")))  # SAMPLE_DOCS rows at most
+    trusted = F.broadcast(trusted_sample(labels).select(F.col("doc_id").alias("_trusted")))  # about SAMPLE_DOCS rows at most
     found = docs.join(trusted, docs["doc_id"].cast("long") == F.col("_trusted"), "left").select(F.col("_trusted").isNotNull().alias("good"), words(F.col("text")).alias("w"))
     pairs = found.select("good", F.inline(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))))
     grams = pairs.select("good", F.explode(F.array(bucket("a"), F.when(F.col("b").isNotNull(), bucket("a", "b")))).alias("bucket")).where("bucket is not null")

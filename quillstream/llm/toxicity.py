@@ -24,9 +24,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import byte_slices
+from quillstream.llm.common import byte_slices, in_sample
 
-#: The sample: documents of each class, those with the least hashes, and characters taken of each.
+#: The sample: documents of each class, about, and characters taken of each.
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 800, 1600, 8_000
 #: Words in a window; bytes of ordinary text in both dictionaries.
 WINDOW, BODY_BYTES = 4, 28_000
@@ -166,12 +166,12 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[str]]:
-    """Texts of toxic and of ordinary labelled documents outside the held-out fifth: at most SAMPLE_ of each."""
+    """Texts of toxic and of ordinary labelled documents outside the held-out fifth: all, or about SAMPLE_ of each, by their hashes."""
     known = labels.where("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    order = F.xxhash64("doc_id")
     ids = known.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    few = [ids.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(n) for k, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_ORDINARY))]
-    wanted = few[0].union(few[1])  # SAMPLE_TOXIC + SAMPLE_ORDINARY rows at most
+    have = {r["toxic"]: r["n"] for r in ids.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    few = [ids.where(F.col("toxic") == k).where(in_sample(F.xxhash64("doc_id"), n, have.get(k, 0))) for k, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_ORDINARY))]
+    wanted = few[0].union(few[1])  # about SAMPLE_TOXIC + SAMPLE_ORDINARY rows at most
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.col("text").cast("string"), 1, SAMPLE_CHARS).alias("text")).where("text is not null")
     rows = texts.join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     return [r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0]
