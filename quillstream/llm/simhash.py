@@ -6,6 +6,11 @@ fingerprints differ by at most T_i bits in some partition i (T_i = -1: the
 partition is not looked at).  Correlated bits go to one partition; the thresholds
 come from a dynamic program over the candidates each would give, estimated from the
 agreement of bits over all fingerprints; candidates are probed and verified.
+
+Three bits of 64 find copies that differ in a few words.  keep_one() looks further, for a
+similarity of SIMILARITY over five-word shingles: each text has two fingerprints, either
+may bring two texts together within WIDE_RADIUS bits, and both together decide, by the
+share of the 128 bits in which texts of that similarity differ.
 """
 
 from __future__ import annotations
@@ -25,6 +30,8 @@ BITS = 64
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
+#: The wider search: words in a shingle, similarity (Jaccard) that counts as a copy, and bits within which either fingerprint is looked for.
+WIDE_SHINGLE, SIMILARITY, WIDE_RADIUS = 5, 0.8, 6
 #: Buckets up to this are compared pair by pair; larger ones by a search that gives a spanning forest.
 SMALL_BUCKET = 48
 #: Buckets over this are dealt again by the bits that they don't share.
@@ -33,46 +40,68 @@ LARGE_BUCKET = 4096
 SIGNATURE_COST = 200.0
 
 
-def fingerprint(text: str | None) -> int:
-    """The unsigned fingerprint of one text: 0 if it has no word."""
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Other hashes made of hashes: the finish of splitmix64 from the k-th start."""
+    z = h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def fingerprints_of(text: str | None, shingle: int, n: int) -> list[int]:
+    """n unsigned fingerprints of one text, the first of its shingles' own hashes: 0 if it has no word."""
     from xxhash import xxh64_digest
 
     found = (text or "").encode("utf-8", "replace").lower().split()  # of bytes: A to Z alone, and the blanks of the contract alone
     if not found:
-        return 0
+        return [0] * n
     joined = b" ".join(found)
-    if len(found) <= SHINGLE:
+    if len(found) <= shingle:
         digests = xxh64_digest(joined, SEED)
     else:
         size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) + 1
         ends = np.cumsum(size)
-        starts = (ends - size)[: 1 - SHINGLE].tolist()
-        digests = b"".join([xxh64_digest(joined[a:b], SEED) for a, b in zip(starts, (ends[SHINGLE - 1:] - 1).tolist())])
-    bits = np.unpackbits(np.frombuffer(digests, dtype=np.uint8).reshape(-1, 8), axis=1)
-    over = 2 * np.add.reduce(bits, axis=0, dtype=np.int64) > len(bits)
-    return int.from_bytes(np.packbits(over).tobytes(), "big")
+        starts = (ends - size)[: 1 - shingle].tolist()
+        digests = b"".join([xxh64_digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1:] - 1).tolist())])
+    hashes = np.frombuffer(digests, dtype=">u8")
+    out = []
+    for k in range(n):
+        own = hashes if k == 0 else _mixed(hashes.astype(np.uint64), k).astype(">u8")
+        bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1)
+        over = 2 * np.add.reduce(bits, axis=0, dtype=np.int64) > len(bits)
+        out.append(int.from_bytes(np.packbits(over).tobytes(), "big"))
+    return out
+
+
+def fingerprint(text: str | None) -> int:
+    """The unsigned fingerprint of one text: 0 if it has no word."""
+    return fingerprints_of(text, SHINGLE, 1)[0]
 
 
-def _fingerprints(batches):
+def _fingerprints(batches, shingle: int, n: int):
     import pyarrow as pa
 
     for whole in batches:
         for batch in byte_slices(whole):
-            values = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(values.view(np.int64))], names=["doc_id", "text_hash", "fp"])
+            values = np.array([fingerprints_of(t, shingle, n) for t in batch.column("text").to_pylist()], dtype=np.uint64).reshape(-1, n)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *[pa.array(np.ascontiguousarray(values[:, k]).view(np.int64)) for k in range(n)]], names=["doc_id", "text_hash", *_columns(n)])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash (xxhash64 of the text, null as empty) and fp (the fingerprint as a signed long) of every document."""
+def _columns(n: int) -> list[str]:
+    return [f"fp{k}" for k in range(n)]
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, n: int = 1) -> DataFrame:
+    """doc_id, text_hash (xxhash64 of the text, null as empty) and fp0 on (the fingerprints as signed longs) of every document."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(docs).alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long")
+    return narrow.mapInArrow(lambda it: _fingerprints(it, shingle, n), "doc_id long, text_hash long, " + ", ".join(f"{c} long" for c in _columns(n)))
 
 
 def text_hash(docs: DataFrame):
     return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
 
 
-def agreement(distinct: DataFrame) -> tuple[int, np.ndarray]:
+def agreement(distinct: DataFrame, column: str = "fp0") -> tuple[int, np.ndarray]:
     """How many fingerprints there are, and how many have both bit i and bit j set, for all i and j, over all of them."""
 
     def count(batches):
@@ -80,7 +109,7 @@ def agreement(distinct: DataFrame) -> tuple[int, np.ndarray]:
 
         total, n = np.zeros((BITS, BITS)), 0
         for batch in batches:
-            fp = batch.column("fp").to_numpy(zero_copy_only=False)
+            fp = batch.column(column).to_numpy(zero_copy_only=False)
             for k in range(0, len(fp), 100_000):
                 bits = np.unpackbits(fp[k:k + 100_000].astype(">i8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32)
                 total += bits.T @ bits
@@ -88,7 +117,7 @@ def agreement(distinct: DataFrame) -> tuple[int, np.ndarray]:
         i, j = np.indices((BITS, BITS))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(i.ravel(), -1)), pa.array(np.append(j.ravel(), -1)), pa.array(np.append(total.ravel(), n).astype(np.int64))], names=["i", "j", "n"])
 
-    rows = distinct.select("fp").mapInArrow(count, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
+    rows = distinct.select(column).mapInArrow(count, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
     both = np.zeros((BITS, BITS))
     n = 0
     for r in rows:  # 4097 rows
@@ -133,15 +162,15 @@ def group_bits(n: int, both: np.ndarray, m: int) -> list[tuple[int, ...]]:
     return groups
 
 
-def expected_agreement(n: int, both: np.ndarray, bits: tuple[int, ...]) -> list[float]:
-    """The chance that two fingerprints differ in at most 0, 1, 2, 3 of the bits, each bit's agreement following the one before it."""
+def expected_agreement(n: int, both: np.ndarray, bits: tuple[int, ...], radius: int = RADIUS) -> list[float]:
+    """The chance that two fingerprints differ in at most 0, 1, ... radius of the bits, each bit's agreement following the one before it."""
     def cells(i: int, j: int) -> np.ndarray:
         a, b, c = both[i, i] / n, both[j, j] / n, both[i, j] / n
         return np.clip(np.array([[1 - a - b + c, b - c], [a - c, c]]), 0, 1)
 
     p = both[bits[0], bits[0]] / n
     same = p * p + (1 - p) ** 2
-    state = np.zeros((2, RADIUS + 2))  # agreement of the bit before, differences so far (more than RADIUS in the last)
+    state = np.zeros((2, radius + 2))  # agreement of the bit before, differences so far (more than the radius in the last)
     state[1, 0], state[0, 1] = same, 1 - same
     for i, j in zip(bits, bits[1:]):
         c = cells(i, j)
@@ -154,15 +183,16 @@ def expected_agreement(n: int, both: np.ndarray, bits: tuple[int, ...]) -> list[
         state[1] = agree
         state[0] = np.append(0, differ[:-1])
         state[0, -1] += differ[-1]
-    return np.cumsum(state.sum(axis=0))[: RADIUS + 1].tolist()
+    return np.cumsum(state.sum(axis=0))[: radius + 1].tolist()
 
 
 def allocate(n: int, both: np.ndarray, radius: int = RADIUS) -> list[Partition]:
-    """The partitions and thresholds of least expected work, over 2 to 4 partitions (more than radius + 1 would leave some unused)."""
+    """The partitions and thresholds of least expected work, over 2 to radius + 1 partitions (more would leave some unused)."""
     best: tuple[float, list[Partition]] | None = None
+    n = max(n, 1)
     for m in range(2, radius + 2):
         groups = group_bits(n, both, m)
-        chance = [expected_agreement(max(n, 1), both, g) if n else [0.0] * (radius + 1) for g in groups]
+        chance = [expected_agreement(n, both, g, radius) for g in groups]
         table: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}  # sum of (threshold + 1) so far -> least work
         for g, c in zip(groups, chance):
             work = [0.0] + [n * SIGNATURE_COST * (1 + (e > 0) * sum(comb(len(g), k) for k in range(e + 1))) + n * n * c[e] / 2 for e in range(radius + 1)]
@@ -179,42 +209,47 @@ def allocate(n: int, both: np.ndarray, radius: int = RADIUS) -> list[Partition]:
     return best[1]
 
 
-def _search(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among distinct fingerprints, each compared with those not reached yet."""
-    out, rest = [], np.sort(fps)
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits rows of fingerprints differ, all their fingerprints together."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+
+
+def _search(fps: np.ndarray, limit: int) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
+    """A spanning forest of the links among distinct rows of fingerprints, each compared with those not reached yet."""
+    out, rest = [], fps[np.lexsort(fps.T[::-1])]
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             x = queue.pop()
-            near = np.bitwise_count(rest ^ x) <= radius
+            near = _apart(rest, x) <= limit
             if near.any():
-                out += [(int(x), int(y)) for y in rest[near]]
+                out += [(tuple(x.tolist()), tuple(y)) for y in rest[near].tolist()]
                 queue += list(rest[near])
                 rest = rest[~near]
     return out
 
 
-def bucket_links(fps: np.ndarray, free: list[int], radius: int) -> list[tuple[int, int]]:
-    """Links that connect what is linked among the distinct fingerprints of a bucket; free: bits in which they may differ."""
+def bucket_links(fps: np.ndarray, which: int, free: list[int], radius: int, limit: int) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
+    """Links that connect what is linked among the distinct rows of a bucket; free: bits of the fingerprint ``which`` in which they may differ."""
     if len(fps) <= LARGE_BUCKET or len(free) <= radius + 1:
-        return _search(fps, radius)
-    out: list[tuple[int, int]] = []
+        return _search(fps, limit)
+    out: list[tuple[tuple[int, ...], tuple[int, ...]]] = []
     for k in range(radius + 1):  # two within the radius agree on one of radius + 1 parts of the free bits
         part = free[k::radius + 1]
-        value = fps & np.uint64(sum(1 << (BITS - 1 - b) for b in part))
+        value = fps[:, which] & np.uint64(sum(1 << (BITS - 1 - b) for b in part))
         order = np.argsort(value, kind="stable")
         cuts = np.flatnonzero(np.diff(value[order])) + 1
         for group in np.split(fps[order], cuts):
             if len(group) > 1:
-                out += bucket_links(group, [b for b in free if b not in part], radius)
+                out += bucket_links(group, which, [b for b in free if b not in part], radius, limit)
     return _forest(out)
 
 
-def _forest(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """As few of the links as connect the same fingerprints."""
-    parent: dict[int, int] = {}
+def _forest(links: list[tuple]) -> list[tuple]:
+    """As few of the links as connect the same rows."""
+    parent: dict = {}
 
-    def find(x: int) -> int:
+    def find(x):
         root = x
         while parent.setdefault(root, root) != root:
             root = parent[root]
@@ -230,19 +265,19 @@ def _forest(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return kept
 
 
-def _links(batches, partitions: list[Partition], radius: int):
+def _links(batches, partitions: list[tuple[int, Partition]], radius: int, n: int, limit: int):
     """Links within buckets; the rows come sorted by partition and signature, so a bucket's rows are neighbours."""
     import pyarrow as pa
 
     held: list[tuple[np.ndarray, ...]] = []
 
     def out(links):
-        a = np.array([x for x, _ in links], dtype=np.uint64).view(np.int64)
-        b = np.array([y for _, y in links], dtype=np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        ends = [np.array([x[side] for x in links], dtype=np.uint64).reshape(-1, n) for side in (0, 1)]
+        columns = [pa.array(np.ascontiguousarray(e[:, k]).view(np.int64)) for e in ends for k in range(n)]
+        return pa.RecordBatch.from_arrays(columns, names=[f"{side}{k}" for side in "ab" for k in range(n)])
 
-    def work(k: np.ndarray, sig: np.ndarray, fp: np.ndarray, probe: np.ndarray):
-        links: list[tuple[int, int]] = []
+    def work(k: np.ndarray, sig: np.ndarray, probe: np.ndarray, fp: np.ndarray):
+        links: list[tuple] = []
         edge = np.flatnonzero((np.diff(k) != 0) | (np.diff(sig) != 0)) + 1
         first, stop = np.append(0, edge), np.append(edge, len(k))
         size = stop - first
@@ -256,20 +291,21 @@ def _links(batches, partitions: list[Partition], radius: int):
             index = index[b[index] == b[index + d]]
             if not len(index):
                 break
-            x, y = f[index], f[index + d]
-            near = (np.bitwise_count(x ^ y) <= radius) & (x != y) & ~(p[index] & p[index + d])
-            links += zip(x[near].tolist(), y[near].tolist())
+            apart = _apart(f[index], f[index + d])
+            near = (apart <= limit) & (apart > 0) & ~(p[index] & p[index + d])
+            links += zip(map(tuple, f[index[near]].tolist()), map(tuple, f[index[near] + d].tolist()))
         for s in np.flatnonzero(size > SMALL_BUCKET):
-            part = partitions[k[first[s]]]
+            which, part = partitions[k[first[s]]]
             # What probes meet in a bucket differs in a bit or more of the partition, so all bits are free there.
             free = list(range(BITS)) if part.threshold else [x for x in range(BITS) if x not in part.bits]
-            links += bucket_links(np.unique(fp[first[s]:stop[s]]), free, radius)
+            links += bucket_links(np.unique(fp[first[s]:stop[s]], axis=0), which, free, radius, limit)
         return out(_forest(links))
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append((batch.column("k").to_numpy(), batch.column("sig").to_numpy(), batch.column("fp").to_numpy().view(np.uint64), batch.column("probe").to_numpy(zero_copy_only=False)))
+        fp = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in _columns(n)], axis=1)
+        held.append((batch.column("k").to_numpy(), batch.column("sig").to_numpy(), batch.column("probe").to_numpy(zero_copy_only=False), fp))
         k, sig = held[-1][0], held[-1][1]
         if (k[0], sig[0]) == (k[-1], sig[-1]):
             continue  # one bucket so far; it may go on
@@ -285,33 +321,50 @@ def _changed(k: int, own, changes):
     return F.transform(changes, lambda c, i: F.struct(F.lit(k).alias("k"), own.bitwiseXOR(c).alias("sig"), (i > 0).alias("probe")))
 
 
-def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links a, b between distinct fingerprints (column fp) that connect all within the radius of one another."""
-    n, both = agreement(distinct)
-    partitions = allocate(n, both, radius)
+def near_links(distinct: DataFrame, radius: int = RADIUS, n: int = 1, limit: int | None = None) -> DataFrame:
+    """Links a, b between distinct rows of fingerprints (columns fp0 on) that connect all within ``limit`` bits of one another.
+
+    Two rows meet if any of their fingerprints are within the radius; with one fingerprint the limit is the radius.
+    a and b are longs, or structs of as many as there are fingerprints.
+    """
+    limit = radius if limit is None else limit
+    partitions = [(q, p) for q, c in enumerate(_columns(n)) for p in allocate(*agreement(distinct, c), radius)]
     signed = lambda x: x - (1 << BITS) if x >> (BITS - 1) else x
     signatures = []
-    for k, p in enumerate(partitions):
-        own = F.col("fp").bitwiseAND(F.lit(signed(p.mask())))
+    for k, (q, p) in enumerate(partitions):
+        own = F.col(f"fp{q}").bitwiseAND(F.lit(signed(p.mask())))
         changes = F.array(*[F.lit(signed(x)).cast("long") for x in p.masks()])
         # The first change is none: that row is what the others probe for.
         signatures.append(_changed(k, own, changes))
-    rows = distinct.select("fp", F.inline(F.concat(*signatures)))
-    dealt = rows.repartition("k", "sig").sortWithinPartitions("k", "sig")
-    return dealt.select("k", "sig", "fp", "probe").mapInArrow(lambda it: _links(it, partitions, radius), "a long, b long")
+    rows = distinct.select(*_columns(n), F.inline(F.concat(*signatures)))
+    dealt = rows.repartition("k", "sig").sortWithinPartitions("k", "sig").select("k", "sig", "probe", *_columns(n))
+    links = dealt.mapInArrow(lambda it: _links(it, partitions, radius, n, limit), ", ".join(f"{side}{k} long" for side in "ab" for k in range(n)))
+    return links.select(*[_key([f"{side}{k}" for k in range(n)]).alias(side) for side in "ab"])
+
+
+def _key(columns: list[str]):
+    """One column for a row of fingerprints."""
+    return F.col(columns[0]) if len(columns) == 1 else F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(columns)])
+
+
+def bits_apart(similarity: float, bits: int) -> int:
+    """In how many of the bits texts of a similarity (Jaccard) differ: that of sets is 2s / (1 + s) as a cosine; and a deviation more, as bits scatter."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return round(bits * share + np.sqrt(bits * share * (1 - share)))
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, text_hash, fingerprint (16 hex digits), component_id and n_same (documents with that fingerprint) of every document.
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, n: int = 1, limit: int | None = None) -> DataFrame:
+    """doc_id, text_hash, fingerprint (16 hex digits each), component_id and n_same (documents with that fingerprint) of every document.
 
     A null text, or one without words, has fingerprint zero and is linked like any other; a text shorter than a
     shingle is one shingle.  Rows with one doc_id are linked by their own texts; a row without a doc_id takes part
     but can't name a component, which is null if it has no other rows.  Other columns are left behind.
+    With n fingerprints two texts are linked if any of these is within the radius and all together within ``limit`` bits.
     """
-    each = written(fingerprints(docs), "fingerprints")
-    distinct = written(each.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_same")), "distinct-fingerprints")
+    each = written(fingerprints(docs, shingle, n).withColumn("fp", _key(_columns(n))), "fingerprints")
+    distinct = written(each.groupBy("fp", *_columns(n)).agg(F.min("doc_id").alias("first"), F.count("*").alias("n_same")), "distinct-fingerprints")
     total = each.count()
-    roots = components(near_links(distinct, radius))
+    roots = components(near_links(distinct, radius, n, limit))
     # Only fingerprints with a link are in roots; a root itself is added to its own component.
     named = roots.union(roots.select("root", "root").distinct())
     member = written(named.toDF("fp", "root").join(distinct, "fp"), "linked-fingerprints")
@@ -319,15 +372,16 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     linked = join_skewed(member.select("fp", "root"), group, "root", "n_members", member.count()).select("fp", "component_id")
     by_print = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "n_same", F.col("n_same").alias("weight"))
     joined = join_skewed(each, by_print, "fp", "weight", total)
-    return joined.select("doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_same")
+    return joined.select("doc_id", "text_hash", F.lower(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in _columns(n)])).alias("fingerprint"), "component_id", "n_same")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents that name their component, with all their columns: one of each group of near-duplicates.
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The documents that name their component, with all their columns: one of each group of texts of that similarity.
 
     Rows of one doc_id and text count as one document.  In a component without any doc_id all rows stay.
     """
-    found = written(near_duplicates(docs, radius).select("doc_id", "text_hash", "component_id"), "near-duplicates")
+    near = near_duplicates(docs, WIDE_RADIUS, WIDE_SHINGLE, 2, bits_apart(similarity, 2 * BITS))
+    found = written(near.select("doc_id", "text_hash", "component_id"), "near-duplicates")
     keys = [F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash")]
 
     def same(left: DataFrame, right: DataFrame):

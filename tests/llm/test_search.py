@@ -62,7 +62,7 @@ def test_links_connect_what_brute_force_connects(spark, monkeypatch, seed, skew,
     monkeypatch.setattr(simhash, "LARGE_BUCKET", large)
     prints = clustered(random.Random(seed), 260, skew)
     signed = np.array(sorted(set(prints)), dtype=np.uint64).view(np.int64).tolist()
-    frame = spark.createDataFrame([(p,) for p in signed], "fp long")
+    frame = spark.createDataFrame([(p,) for p in signed], "fp0 long")
     links = simhash.near_links(frame).collect()
     assert all(((r["a"] ^ r["b"]) & (2**64 - 1)).bit_count() <= 3 for r in links)
     found = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -97,12 +97,35 @@ def test_near_duplicates(spark):
             first[label[p]] = min(first.get(label[p], r[0]), r[0])
     wanted = sorted((str(r[0]), f"{p:016x}", first.get(label[p]), prints.count(p)) for r, p in zip(rows, prints))
     assert sorted((str(r["doc_id"]), r["fingerprint"], r["component_id"], r["n_same"]) for r in got.collect()) == wanted
-    kept = simhash.keep_one(cases.frame(spark, rows)).collect()
-    texts = [(r["doc_id"], r["text"]) for r in kept]
-    assert len(texts) == len(set(texts)) and {r["doc_id"] for r in kept} == set(first.values())
     assert simhash.near_duplicates(cases.frame(spark, [])).count() == 0 == simhash.keep_one(cases.frame(spark, [])).count()
 
 
+def jaccard(a, b):
+    sets = [{tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_keep_one_of_similar_texts(spark):
+    rng, rows = random.Random(9), cases.documents(5, 120)
+    for k in range(40, 100):  # copies of long texts with a word changed here and there
+        words = cases.prose(rng, cases.vocabulary(11, 3000), 400).split()
+        rows[k] = (k, " ".join(words), "en", "s", 0)
+        for _ in range(rng.randint(1, 4)):
+            words[rng.randrange(len(words))] = "other"
+        rows.append((1000 + k, " ".join(words), "en", "s", 0))
+    kept = simhash.keep_one(cases.clashing(cases.frame(spark, rows))).collect()
+    texts = [(r["doc_id"], r["text"]) for r in kept]
+    assert len(texts) == len(set(texts)) and kept[0]["key"] == "own"
+    ids = {r["doc_id"] for r in kept}
+    assert set(range(40, 100)) <= ids  # strangers stay
+    copies = [k for k in range(40, 100) if jaccard(rows[k][1], next(r[1] for r in rows if r[0] == 1000 + k)) >= 0.9]
+    assert len(copies) > 40 and sum(1000 + k in ids for k in copies) <= len(copies) // 10
+    assert 4 in ids and 5 not in ids and sum(r["doc_id"] == 4 for r in kept) == 1
+    ex = simhash.near_duplicates(cases.frame(spark, rows), 6, 5, 2, simhash.bits_apart(0.8, 128)).collect()
+    prints = [tuple(simhash.fingerprints_of(r[1], 5, 2)) for r in rows]
+    assert {(str(r["doc_id"]), r["fingerprint"]) for r in ex} == {(str(r[0]), f"{p[0]:016x}{p[1]:016x}") for r, p in zip(rows, prints)}
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(1)
     links = [(k, k + 1) for k in range(0, 300) if k % 60 != 59] + [(1000, 1000 + k) for k in range(1, 80)] + [(5000, 5000)]
