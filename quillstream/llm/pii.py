@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from quillstream.llm.common import byte_slices, in_sample
 
 KINDS = ("email", "ip", "card", "phone")
-#: The longest span in tokens; tokens of context on either side of a zone's digits and signs; zones are cut at so many tokens.
-SPAN_TOKENS, CONTEXT, ZONE_TOKENS = 24, 2, 400
+#: The longest span in tokens; chunks of context on either side of a zone's digits and signs; characters of the pieces that a long
+#: zone is read in, how far they overlap, and how near a piece's end the next one takes over.
+SPAN_TOKENS, CONTEXT, PIECE, OVERLAP, EDGE = 24, 2, 800, 200, 100
 #: The sample, passes over it, step size, ridge and seed of the fit; zones of one text shape that are kept.
 SAMPLE_DOCS, PASSES, STEP, RIDGE, SEED, EACH_SHAPE = 4000, 6, 0.5, 1e-4, 7, 6
 #: A model span is added if leaving it out would cost at least this much log score.
@@ -179,7 +180,7 @@ class Lattice:
 
     def __init__(self, text: str):
         self.text = text
-        self.tokens = [m.span() for m in TOKEN.finditer(text)][:ZONE_TOKENS]
+        self.tokens = [m.span() for m in TOKEN.finditer(text)]
         n = len(self.tokens)
         marked = [bool(TRIGGER.search(text[a:b])) for a, b in self.tokens]
         self.ending: list[list[tuple[int, int, list[str]]]] = [[] for _ in range(n + 1)]
@@ -348,9 +349,16 @@ def find(text: str | None, model: Model, cache) -> tuple[list[tuple[int, int, in
         inside = [(s, e) for _, s, e in base if s < b and a < e]
         if len(inside) and all(not TRIGGER.search(text[x:y]) for x, y in _gaps(a, b, inside)):
             continue  # the base spans hold every digit and sign of the zone
-        for kind, s, e in cache(text[a:b]):
-            if not any(s + a < y and x < e + a for x, y in inside):
-                added.append((kind, s + a, e + a))
+        done = a
+        for start in range(a, max(a + 1, b - OVERLAP), PIECE - OVERLAP):
+            stop = min(b, start + PIECE)
+            # Each place of the zone is decided by one piece.
+            first, last = start + EDGE * (start > a), stop if stop == b else stop - EDGE
+            for kind, s, e in cache(text[start:stop]):
+                s, e = s + start, e + start
+                if first <= s < last and s >= done and not any(s < y and x < e for x, y in inside):
+                    added.append((kind, s, e))
+                    done = e
     return base, sorted({*base, *added}, key=lambda x: (x[0], x[1], x[2]))
 
 

@@ -286,6 +286,14 @@ def test_model_finds_other_forms_and_leaves_numbers_alone():
         assert set(base) <= set(every) and every == sorted(every)
 
 
+def test_long_zones_are_read_whole():
+    model = pii.fit([])
+    text = "x " + " ".join(["(988) 555-2485", "4111 1111 1111 1111", "in 1999"] * 400)
+    every = pii.find(text, model, lambda z: model.best(pii.Lattice(z)))[1]
+    assert [text[a:b] for k, a, b in every if k == 3] == ["(988) 555-2485"] * 400 and sum(k == 2 for k, _, _ in every) == 400
+    assert pii.find("1" * 5000, model, lambda z: model.best(pii.Lattice(z)))[1] == []
+
+
 def test_dynamic_program_is_best():
     rng = random.Random(5)
     for _ in range(60):
