@@ -74,7 +74,7 @@ def _open_epub(batches):
 
     local = lambda e: e.tag.rpartition("}")[2]
     for batch in batches:
-        out: list[list] = [[] for _ in range(8)]
+        out: list[list] = [[] for _ in range(9)]
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
             with zipfile.ZipFile(io.BytesIO(content)) as z:
                 container = ET.fromstring(z.read("META-INF/container.xml"))
@@ -82,20 +82,20 @@ def _open_epub(batches):
                 root = ET.fromstring(z.read(package))
                 first = {n: next((e.text for e in root.iter() if local(e) == n and e.text), None) for n in ("title", "creator", "language")}
                 spine = [e.get("idref") for e in root.iter() if local(e) == "itemref"]
-                items = [e for e in root.iter() if local(e) == "item" and e.get("media-type") in ("application/xhtml+xml", "text/html") and e.get("properties") != "nav"]
+                items = [e for e in root.iter() if local(e) == "item" and e.get("media-type") in ("application/xhtml+xml", "text/html")]
                 for k, e in enumerate(items):
                     name = posixpath.normpath(posixpath.join(posixpath.dirname(package), unquote(e.get("href"))))
                     place = spine.index(e.get("id")) if e.get("id") in spine else None
-                    for column, value in zip(out, (path, k, place, e.get("href"), first["title"], first["creator"], first["language"], z.read(name).decode("utf-8", "replace"))):
+                    for column, value in zip(out, (path, k, place, e.get("href"), first["title"], first["creator"], first["language"], "nav" in (e.get("properties") or "").split(), z.read(name).decode("utf-8", "replace"))):
                         column.append(value)
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["book_id", "item_no", "spine_no", "name", "title", "author", "language", "html"])
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["book_id", "item_no", "spine_no", "name", "title", "author", "language", "is_nav", "html"])
 
 
 def epub_items(spark: SparkSession, path: str) -> DataFrame:
-    """book_id, item_no, spine_no, name, title, author, language and html of every document of e-books."""
+    """book_id, item_no, spine_no, name, title, author, language, is_nav (a table of contents) and html of every document of e-books."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_open_epub, "book_id string, item_no long, spine_no long, name string, title string, author string, language string, html string")
+    return files.mapInArrow(_open_epub, "book_id string, item_no long, spine_no long, name string, title string, author string, language string, is_nav boolean, html string")
 
 
 def section_chapters(items: DataFrame, least_words: int = 50, keep_titled: bool = True, compat: bool = False) -> DataFrame:
@@ -105,6 +105,13 @@ def section_chapters(items: DataFrame, least_words: int = 50, keep_titled: bool
     return keep_sections(sections, least_words, keep_titled).select("book_id", "chapter_index", "title", F.col("text").alias("raw_text"), F.col("name").alias("source_file"), "n_words")
 
 
+def epub_chapters(items: DataFrame, least_words: int = 50, keep_titled: bool = True) -> DataFrame:
+    """Chapters of e-books from their documents in order; a book without any has its spine looked through, contents included."""
+    usual = section_chapters(items.where("not is_nav"), least_words, keep_titled)
+    spine = items.where("spine_no is not null").join(usual.select("book_id").distinct(), "book_id", "left_anti").withColumn("item_no", F.col("spine_no"))
+    return usual.unionByName(section_chapters(spine, least_words, keep_titled))
+
+
 def read_projects(spark: SparkSession, path: str) -> DataFrame:
     """Project files with defaults filled in; one of a newer version than SCHEMA_VERSION is an error."""
     rows = spark.read.schema(PROJECT).json(path, multiLine=True).withColumn("book_id", F.input_file_name())
@@ -156,6 +163,23 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.schema(MANIFEST).json(path, multiLine=True).select("book_title", F.explode("chapters").alias("c")).select("book_title", "c.*")
 
 
+def manifest_json(entries: DataFrame, book_title: str = "", updated: str | None = None) -> DataFrame:
+    """json, one manifest document per book, of entries (book_id, chapter_index, the three hashes, wav_path, duration_s, status, error_summary, created_at)."""
+    fields = ("chapter_index", "text_hash", "casting_hash", "render_params_hash", "wav_path", "duration_s", "status", "error_summary", "created_at")
+    now = F.lit(updated) if updated else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    document = F.struct(F.lit(values.MANIFEST_VERSION).alias("version"), F.lit(book_title).alias("book_title"), F.lit("").alias("config_hash"), F.array_sort(F.collect_list(F.struct(*fields))).alias("chapters"), now.alias("last_updated"))
+    return entries.groupBy("book_id").agg(F.to_json(document, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def project_file(spark: SparkSession, folder: str, suffix: str = ".project.json") -> str:
+    """The one project file of a folder; none, or more than one, is an error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*{suffix}")
+    found = [str(x.getPath()) for x in path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []]
+    if len(found) != 1:
+        raise FileNotFoundError(f"{len(found)} files end with {suffix} in {folder}, not one")
+    return found[0]
+
+
 def write_json(rows: DataFrame, path: str, column: str = "json") -> None:
     """Documents as text files; Spark's commit puts them in place at once."""
     rows.select(F.col(column).alias("value")).write.mode("overwrite").text(path)

@@ -212,7 +212,11 @@ def test_sources(spark, tmp_path):
         z.writestr("OEBPS/p.opf", '<package xmlns="o" xmlns:dc="d"><metadata><dc:title>Book</dc:title><dc:creator>Ann</dc:creator></metadata><manifest><item id="a" href="a%20b.xhtml" media-type="application/xhtml+xml"/><item id="b" href="b.xhtml" media-type="application/xhtml+xml"/><item id="s" href="s.css" media-type="text/css"/></manifest><spine><itemref idref="b"/></spine></package>')
         z.writestr("OEBPS/a b.xhtml", "<h1>One</h1><p>few words</p>")
         z.writestr("OEBPS/b.xhtml", "<p>short</p>")
+        z.writestr("OEBPS/nav.xhtml", "<nav>contents</nav><p>contents here</p>")
     items = B.epub_items(spark, str(tmp_path / "x.epub"))
+    assert B.epub_chapters(items).count() == 1 and B.epub_chapters(items, least_words=1).count() == 2
+    only = items.where("name = 'b.xhtml'").withColumn("is_nav", F.lit(True))  # nothing but contents: the spine counts
+    assert B.epub_chapters(only, least_words=1).first()["raw_text"] == "short"
     assert [(r["name"], r["title"], r["spine_no"]) for r in items.orderBy("item_no").collect()] == [("a%20b.xhtml", "Book", None), ("b.xhtml", "Book", 0)]
     assert [(r["title"], r["raw_text"]) for r in B.section_chapters(items).collect()] == [("One", "One \n\nfew words")]
     assert B.section_chapters(items, keep_titled=False).count() == 0
@@ -279,3 +283,37 @@ def test_streaming_compile(spark, tmp_path):
     incremental.run(chapters, str(tmp_path / "out"), str(manifest), str(tmp_path / "ck"))
     latest = incremental.latest_manifest(spark, str(manifest))
     assert latest.count() == 2 and incremental.current_utterances(spark, str(tmp_path / "out"), str(manifest)).where("chapter_index = 1").first()["text"] == "Changed. And more."
+
+
+def test_project(spark, tmp_path):
+    from quillstream.plans.project import Project, VoiceNotFound
+
+    text = '# Chapter 1: A\n\n"Hi," said Ann.\n\n# Chapter 2: B\n\n"Go," whispered Bob.'
+    p = Project.from_string(spark, text, "T", "Me").cast("Ann", "bf_emma", "happy").compile()
+    assert {r["speaker"] for r in p.detected_speakers().collect()} == {"Ann", "Bob", "narrator"}
+    assert [r["speaker_key"] for r in p.uncast_speakers().collect()] == ["bob"]
+    assert {r["speaker"]: r["voice_id"] for r in p.suggest(B.known_voices(spark)).collect()}.keys() == {"Ann", "Bob", "narrator"}
+    full = p.cast_suggested(B.known_voices(spark))
+    assert full.uncast_speakers().count() == 0
+    full.check_voices(B.known_voices(spark))
+    with pytest.raises(VoiceNotFound):
+        p.cast("Bob", "nobody").check_voices(B.known_voices(spark))
+    info = full.info().first()
+    assert (info["n_chapters"], info["characters_cast"], info["compiled"], info["rendered"]) == (2, 3, True, False)
+    files = p.review().withColumn("text", F.replace("text", F.lit("@Bob"), F.lit("@Rob")))
+    assert "Rob" in {r["speaker"] for r in p.import_review(files).detected_speakers().collect()}
+    keys = full.render_keys()
+    done = keys.where("chapter_index = 0").withColumns({"status": F.lit("ok"), "wav_exists": F.lit(True)})
+    assert [r["action"] for r in full.render_plan(done).orderBy("chapter_index").collect()] == ["cached", "render"]
+    assert {r["action"] for r in full.cast("Ann", "af_sky").render_plan(done).collect()} == {"render"}
+    p.save(str(tmp_path / "saved"))
+    back = Project.load(spark, str(tmp_path / "saved"))
+    assert back.detected_speakers().count() == 3 and back.settings["sample_rate"] == 24000
+    assert Project.from_chapters(spark, [("A", "x"), ("B", "")]).chapters.count() == 2
+    entries = keys.withColumns({"wav_path": F.lit("a"), "duration_s": F.lit(1.0), "status": F.lit("ok"), "error_summary": F.lit(""), "created_at": F.lit("")})
+    B.write_json(B.manifest_json(entries), str(tmp_path / "m"))
+    assert B.read_manifest(spark, str(tmp_path / "m")).count() == 2
+    (tmp_path / "one.project.json").write_text("{}")
+    assert B.project_file(spark, str(tmp_path)).endswith("one.project.json")
+    with pytest.raises(FileNotFoundError):
+        B.project_file(spark, str(tmp_path), ".none")
