@@ -16,7 +16,7 @@ from quillstream.llm.common import BLANKS, in_sample, let, settled, words, writt
 #: Trusted documents that make the target, about, if there are more.
 SAMPLE_DOCS = 20_000
 #: Hash buckets, pseudo-counts per bucket, and the least mean log ratio that is kept.
-BUCKETS, SMOOTHING, THRESHOLD = 1 << 16, 0.5, -0.5
+BUCKETS, SMOOTHING, THRESHOLD = 1 << 16, 0.5, -0.3
 #: The base rules: fewer words fail, and so does a larger percentage of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
