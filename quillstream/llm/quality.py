@@ -17,6 +17,8 @@ from quillstream.llm.common import BLANKS, in_sample, let, settled, words, writt
 SAMPLE_DOCS = 20_000
 #: Hash buckets, pseudo-counts per bucket, and the least mean log ratio that is kept.
 BUCKETS, SMOOTHING, THRESHOLD = 1 << 16, 0.5, -0.3
+#: What one occurrence counts, so that parts of one are whole numbers, which add up to the same in any order.
+ONE = 1_000_000
 #: The base rules: fewer words fail, and so does a larger percentage of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
@@ -52,14 +54,25 @@ def trusted_sample(labels: DataFrame) -> DataFrame:
 
 
 def ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """bucket and ratio, the log ratio of its share in trusted documents to that in all, for every bucket; all 0 without trusted words."""
+    """bucket and ratio, the log ratio of its share in trusted documents to that in all, for every bucket; all 0 without trusted words.
+
+    A text that makes up over a thousandth of all documents counts once, however many copies of it there are: what is
+    copied often would else look unlike the trusted documents.
+    """
+    text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    total = docs.count()
+    copies = docs.groupBy(text_hash.alias("_copied")).agg(F.count("*").alias("_copies")).where((F.col("_copies") > 1) & (F.col("_copies") * 1000 > total))
     trusted = F.broadcast(trusted_sample(labels).select(F.col("doc_id").alias("_trusted")))  # about SAMPLE_DOCS rows at most
-    found = docs.join(trusted, docs["doc_id"].cast("long") == F.col("_trusted"), "left").select(F.col("_trusted").isNotNull().alias("good"), words(F.col("text")).alias("w"))
-    pairs = found.select("good", F.inline(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))))
-    grams = pairs.select("good", F.explode(F.array(bucket("a"), F.when(F.col("b").isNotNull(), bucket("a", "b")))).alias("bucket")).where("bucket is not null")
-    counts = written(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("good").alias("target")), "ngram-counts")
+    rows = docs.select(F.col("doc_id").cast("long").alias("_doc_id"), text_hash.alias("_hash"), words(F.col("text")).alias("_words"))
+    known = rows.join(trusted, rows["_doc_id"] == F.col("_trusted"), "left").join(F.broadcast(copies), rows["_hash"] == F.col("_copied"), "left")  # under 1000 texts
+    weight = F.greatest(F.lit(1), F.floor(F.lit(ONE) / F.coalesce("_copies", F.lit(1)))).cast("long")
+    found = known.select(F.col("_trusted").isNotNull().alias("good"), weight.alias("weight"), F.col("_words").alias("w"))
+    pairs = found.select("good", "weight", F.inline(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))))
+    grams = pairs.select("good", "weight", F.explode(F.array(bucket("a"), F.when(F.col("b").isNotNull(), bucket("a", "b")))).alias("bucket")).where("bucket is not null")
+    sums = grams.groupBy("bucket").agg(F.sum("weight").alias("raw"), F.sum(F.when(F.col("good"), F.col("weight"))).alias("target"))
+    counts = written(sums.select("bucket", *[(F.coalesce(c, F.lit(0)) / ONE).alias(c) for c in ("raw", "target")]), "ngram-counts")
     totals = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
-    share = lambda c: F.log((F.coalesce(F.col(c), F.lit(0)) + SMOOTHING) / ((totals[c] or 0) + SMOOTHING * BUCKETS))
+    share = lambda c: F.log((F.coalesce(F.col(c), F.lit(0.0)) + SMOOTHING) / ((totals[c] or 0) + SMOOTHING * BUCKETS))
     ratio = share("target") - share("raw") if totals["target"] else F.lit(0.0)
     return docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").select("bucket", ratio.alias("ratio"))
 

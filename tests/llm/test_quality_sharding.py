@@ -39,11 +39,12 @@ def test_base_rules_and_scores(spark):
     one = {r["w"]: r["b"] for r in spark.createDataFrame([(w,) for w in seen], "w string").select("w", quality.bucket("w").alias("b")).collect()}
     two = {(r["x"], r["y"]): r["b"] for r in spark.createDataFrame(pairs, "x string, y string").select("x", "y", quality.bucket("x", "y").alias("b")).collect()}
     buckets = [(d, [one[w] for w in ws] + [two[p] for p in zip(ws, ws[1:])]) for d, ws in split]
-    raw, target = Counter(), Counter()
-    for d, bs in buckets:
-        raw.update(bs)
-        if d is not None and d < 30 and d % 2 == 1:
-            target.update(bs)
+    raw, target, copies = Counter(), Counter(), Counter(r["text"] for r in grams)
+    for (d, bs), r in zip(buckets, grams):
+        part = quality.ONE // copies[r["text"]] / quality.ONE  # so few documents that every copied text is over a thousandth of them
+        for b in bs:
+            raw[b] += part
+            target[b] += part * (d is not None and d < 30 and d % 2 == 1)
     share = lambda c, b: (c[b] + quality.SMOOTHING) / (c.total() + quality.SMOOTHING * quality.BUCKETS)
     wanted = sorted(sum(math.log(share(target, b) / share(raw, b)) for b in bs) / len(bs) for _, bs in buckets if bs)
     assert np.allclose(sorted(r["score"] for r in got if r["score"] is not None), wanted, atol=1e-9)
