@@ -209,7 +209,7 @@ def _scores() -> str:
 QUOTES = TALK + """,
 unknowns AS (SELECT chapter_index, line_index, CASE WHEN speaker = 'user' THEN 'unknown' ELSE speaker END AS speaker, text FROM talk),
 quotes AS (SELECT chapter_index, line_index AS quote_no, '  ' || upper(substr(text, 1, 80)) || ' and more' AS quote_text, CASE WHEN line_index % 2 = 0 THEN 'Marcus' ELSE 'Sarah' END AS speaker,
-  CASE line_index % 5 WHEN 0 THEN 0.9 WHEN 2 THEN 0.31 ELSE 0.3 END AS confidence FROM talk WHERE line_index % 3 <> 1),
+  CASE line_index % 5 WHEN 0 THEN 0.9 WHEN 2 THEN 0.31 ELSE 0.3 END AS confidence FROM talk),
 sure AS (SELECT chapter_index, replace(lower(substr(replace(lower(trim(quote_text)), 'ß', 'ss'), 1, 80)), 'ß', 'ss') AS k, arg_max(speaker, quote_no) AS speaker FROM quotes WHERE confidence > 0.3 GROUP BY 1, 2),
 resolved AS (SELECT u.chapter_index, u.line_index, coalesce(s.speaker, u.speaker) AS speaker, s.speaker IS NOT NULL AS resolved FROM unknowns u LEFT JOIN sure s
   ON u.speaker = 'unknown' AND u.chapter_index = s.chapter_index AND s.k = substr(replace(lower(trim(u.text)), 'ß', 'ss'), 1, 80))"""
@@ -259,7 +259,7 @@ lined AS (SELECT *, CAST(coalesce(sum(ms + 2000) OVER (PARTITION BY book_id ORDE
         "scene_break": "WITH lined AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) SELECT length(line) % 4 IN (0, 1) OR regexp_matches(trim(line), '^\\*\\s*\\*\\s*\\*\\s*$|^-\\s*-\\s*-\\s*$|^~\\s*~\\s*~\\s*$|^###\\s*$') AS is_break, count(*) AS n_lines FROM lined GROUP BY 1",
         "script_lines": f"WITH {TALK}, firsts AS (SELECT *, min(line_index) OVER (PARTITION BY chapter_index, speaker) AS f FROM talk) SELECT chapter_index, line_index, CAST(dense_rank() OVER (PARTITION BY chapter_index ORDER BY f) AS BIGINT) AS speaker_no, '[S' || CAST(dense_rank() OVER (PARTITION BY chapter_index ORDER BY f) AS VARCHAR) || ':' || speaker || '] ' || coalesce('(' || emotion || ') ', '') || text AS line FROM firsts",
         "speaker_script": f"WITH {TALK}, firsts AS (SELECT *, min(line_index) OVER (PARTITION BY chapter_index, speaker) AS f FROM talk), ranked AS (SELECT *, dense_rank() OVER (PARTITION BY chapter_index ORDER BY f) AS r FROM firsts) SELECT chapter_index, string_agg('[S' || CAST(r AS VARCHAR) || ':' || speaker || '] ' || coalesce('(' || emotion || ') ', '') || text, chr(10) ORDER BY line_index) AS script FROM ranked GROUP BY chapter_index",
-        "chapter_status": f"SELECT source AS book_id, doc_id AS chapter_index, doc_id + 1 AS number, 'Chapter ' || CAST(doc_id AS VARCHAR) AS title, {words} AS n_words, CASE WHEN doc_id % 3 = 0 THEN 'rendered' WHEN doc_id % 2 = 0 THEN 'compiled' ELSE '' END AS status FROM documents",
+        "chapter_status": f"SELECT source AS book_id, doc_id AS chapter_index, doc_id + 1 AS number, 'Chapter ' || CAST(doc_id AS VARCHAR) AS title, {words} AS n_words, CASE WHEN doc_id % 3 = 0 THEN 'rendered' WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'compiled' ELSE '' END AS status FROM documents",
         "word_counts": f"WITH counted AS (SELECT doc_id, {words} AS n_words FROM documents) SELECT doc_id AS chapter_index, n_words, {raw_minutes} AS est_minutes FROM counted",
         "html_title": rf"""WITH heads AS (SELECT page_id, substr(html, 1, {X.TITLE_CHARS}) AS h FROM pages),
 found AS (SELECT page_id, regexp_replace({_strip("regexp_extract(h, '(?i)<h[1-3][^>]*>([^<]+)</h[1-3]>', 1)")}, '\s+', ' ', 'g') AS a, regexp_replace({_strip("regexp_extract(h, '(?i)<title>([^<]+)</title>', 1)")}, '\s+', ' ', 'g') AS b FROM heads)
@@ -290,7 +290,7 @@ SELECT book_id, chapter_index, line_index, speaker, coalesce(nullif(emotion, '')
         "line_counts": f"WITH {TALK}, {CAST} SELECT c.speaker_key, c.voice, count(t.speaker) AS line_count FROM casting c LEFT JOIN talk t ON t.speaker = c.speaker_key GROUP BY c.speaker_key, c.voice",
         "detected_speakers": "SELECT DISTINCT role AS speaker FROM conversations",
         "project_info": f"""WITH counted AS (SELECT source, doc_id, n_chars, {words} AS n_words FROM documents) SELECT source AS book_id, count(*) AS n_chapters, CAST(sum(n_words) AS BIGINT) AS total_words,
-  CAST(round_even(sum(n_words) / 150.0, 1) AS DOUBLE) AS est_minutes, round(sum(n_chars / 15.0), 4) AS total_seconds, bool_and(doc_id % 40 < 39) AS compiled, bool_and(doc_id % 3 = 0) AS rendered, CAST(0 AS BIGINT) AS characters_cast FROM counted GROUP BY source""",
+  CAST(round_even(sum(n_words) / 150.0, 1) AS DOUBLE) AS est_minutes, round(sum(n_chars / 15.0), 4) AS total_seconds, bool_and(doc_id IN (SELECT doc_id FROM labels)) AS compiled, bool_and(doc_id % 3 = 0) AS rendered, CAST(0 AS BIGINT) AS characters_cast FROM counted GROUP BY source""",
         "chapter_stats": "SELECT conv_id AS chapter_index, count(*) AS n_utterances, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM conversations GROUP BY conv_id",
         "gender_vote": f"""WITH samples AS (SELECT source AS book_id, lang AS speaker, CASE WHEN doc_id % 3 = 0 THEN text || ' she and her Mother' ELSE text END AS t FROM documents), cues AS (SELECT book_id, speaker, {female} AS female, {male} AS male FROM samples GROUP BY book_id, speaker)
 SELECT book_id, speaker, female, male, CASE WHEN female > male + 1 THEN 'female' WHEN male > female + 1 THEN 'male' END AS gender FROM cues""",
@@ -304,7 +304,7 @@ SELECT book_id, total_chapters, n_rendered, n_cached, n_failed, round((n_rendere
   CASE WHEN total_chapters - n_rendered - n_cached - n_failed <= 0 THEN CAST(0 AS DOUBLE) WHEN n_rendered > 0 THEN round((total_chapters - n_rendered - n_cached - n_failed) * (seconds / n_rendered), 6) END AS eta_seconds,
   CAST(CAST(round_even((n_rendered + n_cached) / total_chapters * 100.0, 0) AS BIGINT) AS VARCHAR) || '% complete (' AS summary_head FROM counted""",
         "review_blocks": f"WITH {BLOCKS} SELECT * FROM block_texts",
-        "review_export": f"WITH {BLOCKS}, {TITLES} SELECT t.chapter_index, '=== ' || t.title || ' ===' || chr(10) || chr(10) || CASE WHEN t.chapter_index % 9 = 0 THEN '# (Not compiled)' ELSE b.body END AS body FROM titles t LEFT JOIN (SELECT chapter_index, string_agg(text, chr(10) || chr(10) ORDER BY block) AS body FROM block_texts GROUP BY chapter_index) b ON t.chapter_index = b.chapter_index",
+        "review_export": f"WITH {BLOCKS}, {TITLES} SELECT t.chapter_index, '=== ' || t.title || ' ===' || chr(10) || chr(10) || b.body AS body FROM titles t LEFT JOIN (SELECT chapter_index, string_agg(text, chr(10) || chr(10) ORDER BY block) AS body FROM block_texts GROUP BY chapter_index) b ON t.chapter_index = b.chapter_index",
         "review_import": f"WITH {REVIEW} SELECT * FROM imported",
         "review_import_stats": f"WITH {REVIEW} SELECT CAST(chapter_index AS VARCHAR) AS book_id, CAST(1 AS BIGINT) AS chapters_updated, count(*) AS utterances_imported, string_agg(DISTINCT speaker, ',' ORDER BY speaker) AS speakers_found FROM imported GROUP BY chapter_index",
         "chapter_timeline": f"WITH {timeline} SELECT book_id, chapter_index, start_ms, start_ms + ms AS end_ms FROM lined",
@@ -322,7 +322,7 @@ SELECT s.chapter_index, s.utterance_count, s.total_chars, CASE s.chapter_index %
   CASE WHEN s.chapter_index % 5 = 0 THEN CAST(1 AS BIGINT) END AS error_line, t.speaker AS error_speaker, substr(t.text, 1, 80) AS error_preview FROM stats s LEFT JOIN talk t ON s.chapter_index % 5 = 0 AND t.chapter_index = s.chapter_index AND t.line_index = 1""",
         "cast_upsert": f"""WITH {CAST}, new AS (SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'user' ELSE lower(n_name) END AS speaker_key, CASE WHEN n_nationkey % 2 = 0 THEN ' USER ' ELSE n_name END AS name, 'v' || CAST(n_nationkey AS VARCHAR) AS voice, n_nationkey AS seq FROM nation),
 everyone AS (SELECT speaker_key, name, voice, emotion, -1 AS seq FROM casting UNION ALL SELECT speaker_key, name, voice, NULL, seq FROM new), latest AS (SELECT *, row_number() OVER (PARTITION BY speaker_key ORDER BY seq DESC) AS r FROM everyone) SELECT speaker_key, name, voice, emotion FROM latest WHERE r = 1""",
-        "manifest_upsert": "SELECT source AS book_id, CASE WHEN doc_id % 3 = 0 THEN 'failed' ELSE 'ok' END AS status, count(*) AS n, min(doc_id) AS first_chapter FROM documents GROUP BY 1, 2",
+        "manifest_upsert": "SELECT source AS book_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN 'failed' ELSE 'ok' END AS status, count(*) AS n, min(doc_id) AS first_chapter FROM documents GROUP BY 1, 2",
         "chapter_text_hash": f"WITH {HASHED} SELECT chapter_index, text_hash FROM hashed",
         "casting_hash": f"""SELECT '{views.TALK}' AS book_id, sha256('{{"characters":{{{casting_json}}},"fallback_voice_id":"{X.FALLBACK_VOICE}"}}') AS casting_hash UNION ALL SELECT 'empty', sha256('{{"characters":{{}},"fallback_voice_id":"bm_george"}}')""",
         "params_hash": """SELECT r_name AS book_id, sha256('{"dialogue_pause_ms":' || CAST(400 + r_regionkey AS VARCHAR) || ',"narrator_pause_ms":' || CAST(600 + r_regionkey AS VARCHAR) || ',"sample_rate":' || CAST(24000 + r_regionkey AS VARCHAR) || '}') AS render_params_hash FROM region""",
