@@ -8,20 +8,28 @@ from pyspark.sql import functions as F
 from quillstream.llm.common import written
 
 
+def _with_least(links: DataFrame) -> DataFrame:
+    """links with m, the least b of their a.
+
+    The least ones are a table of their own, so that the join has exchanges of its own, of which adaptive execution
+    splits those that the centre of a large star fills.
+    """
+    least = written(links.groupBy("a").agg(F.min("b").alias("m")), "least")
+    return links.join(least, "a")
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the least of the node and its neighbours."""
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m"))
-    out = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+    out = _with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
     return out.where("a <> b").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """A node (column a) and its smaller neighbours are linked to the least of them."""
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
-    moved = links.join(least, "a")
-    out = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-    return out.union(least.select("a", F.col("m").alias("b"))).distinct()
+    moved = _with_least(links)
+    pairs = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))
+    return moved.select(F.inline(pairs)).where("a <> b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -33,7 +41,7 @@ def components(links: DataFrame) -> DataFrame:
     tidy = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     now, seen = written(tidy, "links"), None
     while True:
-        now = written(_small_star(_large_star(now)), "links")
+        now = written(_small_star(written(_large_star(now), "links")), "links")
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
