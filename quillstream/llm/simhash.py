@@ -8,9 +8,8 @@ come from a dynamic program over the candidates each would give, estimated from
 agreement of bits over all fingerprints; candidates are probed and verified.
 
 Three bits of 64 find copies that differ in a few words.  keep_one() looks further, for a
-similarity of SIMILARITY over five-word shingles: each text has two fingerprints, either
-may bring two texts together within WIDE_RADIUS bits, and both together decide, by the
-share of the 128 bits in which texts of that similarity differ.
+similarity of SIMILARITY over five-word shingles, which no radius of fingerprints finds
+whole: minhash.copies() brings texts together and decides by their shingles.
 """
 
 from __future__ import annotations
@@ -25,13 +24,12 @@ from pyspark.sql import functions as F
 
 from quillstream.llm.common import byte_slices, join_skewed, written
 from quillstream.llm.components import components
+from quillstream.llm.minhash import SIMILARITY, copies
 
 BITS = 64
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
-#: The wider search: words in a shingle, similarity (Jaccard) that counts as a copy, and bits within which either fingerprint is looked for.
-WIDE_SHINGLE, SIMILARITY, WIDE_RADIUS = 5, 0.8, 6
 #: Buckets up to this are compared pair by pair; larger ones by a search that gives a spanning forest.
 SMALL_BUCKET = 48
 #: Buckets over this are dealt again by the bits that they don't share.
@@ -380,7 +378,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Rows of one doc_id and text count as one document.  In a component without any doc_id all rows stay.
     """
-    near = near_duplicates(docs, WIDE_RADIUS, WIDE_SHINGLE, 2, bits_apart(similarity, 2 * BITS))
+    near = copies(docs.select("doc_id", text_hash(docs).alias("text_hash"), "text"), similarity)
     found = written(near.select("doc_id", "text_hash", "component_id"), "near-duplicates")
     keys = [F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash")]
 
