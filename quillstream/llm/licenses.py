@@ -5,6 +5,8 @@ rarest by document frequency over all documents are looked up in the index; each
 posting gives a relative position (place in the document less place in the template),
 and postings of one template that agree on it add up their weights.  A template
 whose weight is mostly found, and whose key phrases all stand in the text, labels it.
+A template that has none of the document's rarest, as other licences' words took all
+the places, is looked up by the rarest of its own.
 """
 
 from __future__ import annotations
@@ -109,15 +111,24 @@ def scan(docs: DataFrame) -> DataFrame:
     # Documents that have all key phrases of a template, with their rarest licence words and where these stand.
     verified = F.filter(F.array(*[F.when(_all(F.contains("norm", F.lit(f" {p} ")) for p in phrases), F.lit(t)) for t, (_, _, phrases) in enumerate(TEMPLATES)]), lambda x: x.isNotNull())
     some = settled(normal, verified.alias("verified")).where(F.size("verified") > 0)
-    found = settled(some.select("key", "verified", "norm"), word_array(F.col("norm")).alias("words")).select("key", "verified", "words", F.slice(F.array_intersect(rarest_first, "words"), 1, LOOKED_UP).alias("rare"))
-    looked_up = found.select("key", "verified", "rare", F.posexplode_outer("words").alias("place", "word"))
-    hits = looked_up.where(F.array_contains("rare", F.col("word")))
+    own = F.array(*[F.slice(F.array_intersect(strings(sorted(set(t.split()), key=lambda w: (-weight[w], w))), "words"), 1, LOOKED_UP) for _, t, _ in TEMPLATES])
+    found = settled(some.select("key", "verified", "norm"), word_array(F.col("norm")).alias("words")).select("key", "verified", "words", F.slice(F.array_intersect(rarest_first, "words"), 1, LOOKED_UP).alias("rare"), own.alias("own"))
+    hits = found.select("key", "verified", "rare", "own", F.posexplode_outer("words").alias("place", "word"))
     index = F.broadcast(spark.createDataFrame(postings, "template int, word string, at int, weight double"))  # one row per template word
-    # What a template's looked-up words would weigh together, each place once.
-    sought = F.aggregate(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(w).alias("w"), F.lit(x).alias("x")) for t, w, _, x in postings]), F.lit(0.0), lambda a, p: a + F.when((p["t"] == F.col("template")) & F.array_contains("rare", p["w"]), p["x"]).otherwise(0.0))
-    met = hits.join(index, "word").where(F.array_contains("verified", F.col("template"))).select("key", "template", "rare", "at", (F.col("place") - F.col("at")).alias("relative"), "weight").distinct()
-    aligned = met.groupBy("key", "template", "rare", "relative").agg(F.sum("weight").alias("found"))
-    scored = aligned.groupBy("key", "template", "rare").agg(F.max("found").alias("found")).select("key", "template", (F.col("found") / sought).alias("share"))
+    met = hits.join(index, "word").where(F.array_contains("verified", F.col("template")))
+    met = met.select("key", "template", "rare", F.get("own", F.col("template")).alias("own"), "word", "at", (F.col("place") - F.col("at")).alias("relative"), "weight").distinct()
+
+    def sought(words: str) -> Column:
+        """What a template's looked-up words would weigh together, each place once; null if it has none."""
+        posted = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(w).alias("w"), F.lit(x).alias("x")) for t, w, _, x in postings])
+        return F.nullif(F.aggregate(posted, F.lit(0.0), lambda a, p: a + F.when((p["t"] == F.col("template")) & F.array_contains(words, p["w"]), p["x"]).otherwise(0.0)), F.lit(0.0))
+
+    weighed = lambda words: F.sum(F.when(F.array_contains(words, F.col("word")), F.col("weight")))
+    aligned = met.groupBy("key", "template", "rare", "own", "relative").agg(weighed("rare").alias("of_rare"), weighed("own").alias("of_own"))
+    most = aligned.groupBy("key", "template", "rare", "own").agg(F.max("of_rare").alias("of_rare"), F.max("of_own").alias("of_own"))
+    shares = most.select("key", "template", (F.col("of_rare") / sought("rare")).alias("by_rare"), (F.col("of_own") / sought("own")).alias("by_own"))
+    # Where other licences have taken all the places, the template's own words decide.
+    scored = shares.select("key", "template", F.coalesce("by_rare", "by_own").alias("share"))
     names = strings(label for label, _, _ in TEMPLATES)
     method = scored.groupBy("key").agg(F.max("share").alias("best"), F.collect_set(F.when(F.col("share") >= THRESHOLD, F.get(names, F.col("template")))).alias("found_labels"))
     method = written(method.select(F.col("key.doc_id").alias("m_id"), F.col("key.h").alias("m_h"), "best", "found_labels"), "license-labels")
