@@ -3,7 +3,8 @@
 Words and pairs of words are hashed into BUCKETS; two multinomials over the buckets
 are counted, one over trusted documents (labels.quality = 1), one over all documents.
 A document's score is the mean log ratio of its n-grams' shares; documents under
-THRESHOLD go.  Base rules on length and repetition come first.
+a cut go, which comes from the labelled documents' scores.  Base rules on length and
+repetition come first.
 """
 
 from __future__ import annotations
@@ -15,13 +16,15 @@ from quillstream.llm.common import BLANKS, in_sample, let, settled, words, writt
 
 #: Trusted documents that make the target, about, if there are more.
 SAMPLE_DOCS = 20_000
-#: Hash buckets, pseudo-counts per bucket, and the least mean log ratio that is kept.
+#: Hash buckets, pseudo-counts per bucket, and the least mean log ratio that is kept where labels don't say.
 BUCKETS, SMOOTHING, THRESHOLD = 1 << 16, 0.5, -0.3
 #: What one occurrence counts, so that parts of one are whole numbers, which add up to the same in any order.
 ONE = 1_000_000
 #: The base rules: fewer words fail, and so does a larger percentage of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
+#: Labelled documents of each kind from which a cut is derived; steps of a score in which they are counted.
+LEAST_LABELLED, STEPS = 20, 1000
 
 
 def repeated_words(found: Column) -> Column:
@@ -77,11 +80,29 @@ def ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").select("bucket", ratio.alias("ratio"))
 
 
+def derived_cut(steps: list[tuple[int, int, int]]) -> float:
+    """The least score that is kept, from (step, clean documents, junk documents) of the labelled ones that pass the base rules.
+
+    It is the first step above the junk at which the fewest labelled documents are on the wrong side: the clean ones' own
+    words are in the target, so other clean documents may score less than they do.  THRESHOLD if there are too few of a kind.
+    """
+    steps = sorted(steps)
+    junk = sum(j for _, _, j in steps)
+    if min(junk, sum(c for _, c, _ in steps)) < LEAST_LABELLED:
+        return THRESHOLD
+    wrong, cut, least = junk, steps[0][0], junk
+    for step, clean, bad in steps:
+        wrong += clean - bad
+        if wrong < least:
+            least, cut = wrong, step + 1
+    return cut / STEPS
+
+
 def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs (doc_id, text and any other columns) with the base measures, base_failed, score and kept.
 
     n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words are as the contract has them; score is the mean log
-    ratio (null without a word).  kept is false if base_failed, else score >= THRESHOLD.  A null text counts as empty
+    ratio (null without a word).  kept is false if base_failed, else score >= derived_cut().  A null text counts as empty
     and fails; rows with one doc_id are judged each; without trusted documents the base rules alone decide; columns of docs
     with the names given here are replaced.
     """
@@ -100,12 +121,16 @@ def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words"), ((single + double) / F.nullif(2 * F.size(w) - 1, F.lit(-1))).alias("score"))
 
     found = settled(
-        docs.select(row.alias("_row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")),
+        docs.select(row.alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")),
         F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         let(words(text), of).alias("_w"),
     )
     failed = (F.col("_w.n_words") < LEAST_WORDS) | (100 * F.col("_w.n_repeat_words") > MOST_REPEATED * F.col("_w.n_words"))
-    kept = ~failed & F.coalesce(F.col("_w.score") >= THRESHOLD, F.lit(True))
-    return found.select("_row.*", "_w.n_words", "word_chars", "n_symbols", "n_dup_lines", "_w.n_repeat_words", failed.alias("base_failed"), "_w.score", kept.alias("kept"))
+    judged = written(found.select("_row", F.col("_id"), "_w.n_words", "word_chars", "n_symbols", "n_dup_lines", "_w.n_repeat_words", failed.alias("base_failed"), "_w.score"), "judged-documents")
+    sides = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = high")
+    scores = judged.where("not base_failed and score is not null").select("_id", F.floor(F.col("score") * STEPS).cast("long").alias("step")).join(sides, "_id")
+    steps = scores.groupBy("step").agg(F.sum(F.col("low")).alias("clean"), F.sum(1 - F.col("low")).alias("junk")).collect()  # a row for each thousandth of a score
+    kept = ~F.col("base_failed") & F.coalesce(F.col("score") >= derived_cut([tuple(r) for r in steps]), F.lit(True))
+    return judged.select("_row.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", kept.alias("kept"))
