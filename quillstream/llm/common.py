@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import pickle
 import sys
 import tempfile
 import types
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``.  Only where that is unset, as in
-    tests on one machine, a folder of this machine is set and used.
+    It is the session's ``spark.checkpoint.dir``.  Only where that is unset and all runs on one
+    machine, as in tests, a folder of this machine is set and used; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "quillstream-shared")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -43,6 +47,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Removes a table that written() gave, once nothing that is yet to run reads it."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sent(spark: SparkSession, value):
+    """A broadcast of value, its class pickled by value like the functions that use it; received() gives it back on executors."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(broadcast):
+    return pickle.loads(broadcast.value)
+
+
 def in_sample(draw: Column, n: int, total: int) -> Column:
     """Whether a row is in a sample of about n of total rows, by a hash of it; all are if there are no more.
 

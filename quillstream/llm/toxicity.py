@@ -1,17 +1,18 @@
 """Toxicity by compression distance (operator 3).
 
-Two zstandard dictionaries share one body of ordinary text and differ in their tail:
-segments that toxic documents share and ordinary ones lack, or more ordinary text.
-A window of a few words that compresses shorter with the toxic dictionary speaks for
-toxicity; how many windows do so, by how much, is calibrated on labelled documents.
+Two zstandard dictionaries are trained by the library's own trainer, one on ordinary and one on toxic
+text.  Both begin with what was trained on windows of ordinary text, and differ in their tail: trained on
+words of toxic documents that ordinary ones lack, or on the ordinary windows again.  A window of a few
+words that compresses shorter with the toxic dictionary speaks for toxicity; how many windows do
+so, by how much, is calibrated on labelled documents.
 
 Windows are so short that a frame's fixed parts would hide a single word.  Each
 character is therefore written as a pair of bytes, itself and the one before, and
 matches are of 7 bytes or more, that is of about five characters.
 
-The dictionaries and the calibration are fitted on a bounded sample of the labelled
-rows (SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS); every document is scored over its
-whole text.
+The dictionaries and the calibration are fitted on whole texts of a bounded sample of the labelled
+rows (SAMPLE_TOXIC, SAMPLE_ORDINARY, of at most SAMPLE_CHARS characters each); every document is scored
+over its whole text.
 """
 
 from __future__ import annotations
@@ -24,15 +25,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import byte_slices, in_sample
+from quillstream.llm.common import byte_slices, in_sample, received, sent
 
-#: The sample: documents of each class, about, and characters taken of each.
-SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 800, 1600, 8_000
-#: Words in a window; bytes of ordinary text in both dictionaries.
-WINDOW, BODY_BYTES = 4, 28_000
-#: Lengths of segments, the least log ratio of their document shares, the least toxic documents that have one,
-#: in how many segments a document should be covered, and the most segments.
-SEGMENT_CHARS, LEAST_RATIO, LEAST_DOCS, COVER, MOST_SEGMENTS = range(5, 11), 4.0, 6, 3, 80
+#: The sample: documents of each class, about, and the characters that one of them may have; longer ones teach nothing.
+SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 800, 1600, 200_000
+#: Words in a window; bytes of the dictionaries' common part and of their tails; the trainer's segments in both, and its matches.
+WINDOW, BODY_BYTES, TAIL_BYTES, BODY_SEGMENT, TAIL_SEGMENT, MATCHED = 4, 28_000, 3_000, 32, 20, 8
+#: The least log ratio of the document shares of a word that the toxic tail is trained on, and the least toxic documents that have it.
+LEAST_RATIO, LEAST_DOCS = 4.0, 6
 #: Differences of compressed length at which windows are counted.
 STEPS = (2, 4, 6, 8, 10)
 
@@ -105,62 +105,35 @@ class Model:
         self.weights = w
 
 
-def _segments(text: str, n: int, shorter: set[str] | None, only: set[str] | None = None) -> set[str]:
-    """The segments of n characters of a text's words, with the blanks around them; both parts one shorter are in ``shorter``."""
-    out = set()
-    for w in {f" {w} " for w in re.findall(WORD, text.lower())}:
-        for k in range(len(w) - n + 1):
-            s = w[k:k + n]
-            if (shorter is None or (s[1:] in shorter and s[:-1] in shorter)) and (only is None or s in only):
-                out.add(s)
-    return out
-
-
-def toxic_segments(toxic: list[str], ordinary: list[str]) -> list[str]:
-    """Segments that tell toxic texts, chosen one by one for the toxic texts that have too few of them yet."""
-    has: dict[str, list[int]] = {}
-    shorter = None
-    for n in SEGMENT_CHARS:
-        count = Counter(s for t in toxic for s in _segments(t, n, shorter))
-        shorter = {s for s, k in count.items() if k >= LEAST_DOCS}  # a longer segment is no more frequent than its parts
-        against = Counter(s for t in ordinary for s in _segments(t, n, None, shorter))
-        telling = {s for s in shorter if math.log((count[s] + 0.5) / (len(toxic) + 1)) - math.log((against[s] + 0.5) / (len(ordinary) + 1)) >= LEAST_RATIO}
-        for k, t in enumerate(toxic):
-            for s in _segments(t, n, None, telling):
-                has.setdefault(s, []).append(k)
-    covered, chosen = [0] * len(toxic), []
-    gain = lambda s: (sum(covered[k] < COVER for k in has[s]), len(s), s)
-    while has and len(chosen) < MOST_SEGMENTS:
-        best = max(has, key=gain)
-        if gain(best)[0] < 2:
-            break
-        for k in has[best]:
-            covered[k] += 1
-        chosen.append(best)
-        has = {s: v for s, v in has.items() if s not in best and best not in s}
-    return chosen
-
-
-def _body(ordinary: list[str]) -> bytes:
-    """Ordinary text of BODY_BYTES: different words, some of each document in turn."""
-    words, size, step = {}, 0, 200
-    for at in range(0, SAMPLE_CHARS, step):
-        for t in ordinary:
-            for w in re.findall(WORD, t[at:at + step].lower())[1:-1]:
-                if w not in words:
-                    words[w], size = True, size + len(w) + 1
-            if 2 * size > BODY_BYTES:
-                return _pairs(" " + " ".join(words) + " ")[:BODY_BYTES]
-    return _pairs(" " + " ".join(words) + " ")
+def telling_words(toxic: list[str], ordinary: list[str]) -> list[str]:
+    """The words of toxic texts, as often as they stand there, that tell them from ordinary ones."""
+    of = lambda t: [f" {w} " for w in re.findall(WORD, t.lower())]
+    toxic_words = [of(t) for t in toxic]
+    count = Counter(w for ws in toxic_words for w in set(ws))
+    often = {w for w, n in count.items() if n >= LEAST_DOCS}
+    against = Counter(w for t in ordinary for w in often.intersection(of(t)))
+    tells = {w for w in often if math.log((count[w] + 0.5) / (len(toxic) + 1)) - math.log((against[w] + 0.5) / (len(ordinary) + 1)) >= LEAST_RATIO}
+    return [w for ws in toxic_words for w in ws if w in tells]
+
+
+def trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """A dictionary's content by zstandard's trainer; the samples themselves where they are too few for it."""
+    import zstandard as zs
+
+    try:
+        return zs.train_dictionary(size, samples, k=segment, d=MATCHED).as_bytes()
+    except (zs.ZstdError, ValueError, MemoryError):
+        return b"".join(samples)[:size]
 
 
 def fit(toxic: list[str], ordinary: list[str]) -> Model:
     """Both dictionaries and the calibration; without texts of both classes a model that scores 0."""
     if not toxic or not ordinary:
         return Model(b"", b"")
-    body = _body(ordinary)
-    tail = b"".join(_pairs(s) for s in toxic_segments(toxic, ordinary))
-    model = Model(body + body[:len(tail)], body + tail)
+    usual = [w for t in ordinary for w in windows(t)]
+    body, plain = trained(usual, BODY_BYTES, BODY_SEGMENT), trained(usual, TAIL_BYTES, TAIL_SEGMENT)
+    telling = trained([_pairs(w) for w in telling_words(toxic, ordinary)], TAIL_BYTES, TAIL_SEGMENT)
+    model = Model(body + plain, body + telling)
     model.calibrate([*toxic, *ordinary], np.array([1.0] * len(toxic) + [0.0] * len(ordinary)))
     return model
 
@@ -172,7 +145,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[str]]:
     have = {r["toxic"]: r["n"] for r in ids.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     few = [ids.where(F.col("toxic") == k).where(in_sample(F.xxhash64("doc_id"), n, have.get(k, 0))) for k, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_ORDINARY))]
     wanted = few[0].union(few[1])  # about SAMPLE_TOXIC + SAMPLE_ORDINARY rows at most
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.col("text").cast("string"), 1, SAMPLE_CHARS).alias("text")).where("text is not null")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= SAMPLE_CHARS)
     rows = texts.join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     return [r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0]
 
@@ -184,14 +157,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     window speaks for toxicity; rows with one doc_id are scored each; a doc_id of null is not held out; with no
     labelled text of one class all scores are 0; other columns are left behind.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(*sample(docs, labels)))
+    model = sent(docs.sparkSession, fit(*sample(docs, labels)))
 
     def run(batches):
         import pyarrow as pa
 
+        own = received(model)
         for whole in batches:
             for batch in byte_slices(whole):
-                score = model.value.score(batch.column("text").to_pylist())
+                score = own.score(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
