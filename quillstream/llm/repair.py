@@ -3,7 +3,7 @@
 A shard holds consecutive documents in ascending doc_id.  Its ids are rewritten by
 rules: a round counts the neighbouring pairs, gives the most frequent ones a
 nonterminal each, and replaces them where they don't overlap; the next round counts
-again, nonterminals included.  The file keeps the rules, the length to which each
+again, nonterminals included, until no pair is frequent enough to pay for its rule, or a round replaces next to nothing.  The file keeps the rules, the length to which each
 expands, the rewritten sequence and where each document starts in it, so that any
 document, or any range of ids, is decoded without the rest.
 
@@ -30,8 +30,12 @@ END_ID = 2
 #: Ids in a shard, at least one document; and bytes of text that one task gets.
 SHARD_IDS = 1_500_000
 TASK_BYTES = 24_000_000
-#: Rounds of replacement, rules a round may add, and the least occurrences of a pair worth a rule.
-ROUNDS, RULES_A_ROUND, LEAST = 4, 2048, 16
+#: Rules that a round may add, and the least occurrences of a pair worth a rule.
+RULES_A_ROUND, LEAST = 4096, 16
+#: The last round is the one that replaces under one in PAYS symbols: it reads the whole shard for next to nothing.
+PAYS = 50
+#: Symbols that two bytes tell apart.  Where the terminals leave room below, rules end there: one more would make every symbol wider.
+NARROW = 1 << 16
 #: Slots that pairs are hashed to for counting, as a power of two: few enough to stay in a core's cache.
 SLOT_BITS = 18
 
@@ -42,34 +46,44 @@ def compress(ids: np.ndarray, lengths: np.ndarray, terminals: int) -> tuple[np.n
     last = np.zeros(len(seq), dtype=bool)
     last[np.cumsum(lengths) - 1] = True
     rules = np.zeros((0, 2), dtype=np.uint32)
-    # Pairs are counted by hash slots first: a slot's count bounds that of each of its pairs.
-    narrow = terminals + ROUNDS * RULES_A_ROUND <= 1 << 16
-    key_type, shift, slots = (np.uint32, 16, 1 << SLOT_BITS) if narrow else (np.uint64, 32, 1 << SLOT_BITS)
-    factor, down = (key_type(0x9E3779B1), key_type(32 - SLOT_BITS)) if narrow else (key_type(0x9E3779B97F4A7C15), key_type(64 - SLOT_BITS))
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
+    # A slot holds one of the pairs that are hashed to it, most likely the most frequent one, and counts it alone; another
+    # factor each round gives the others their chance.
+    narrow = terminals < NARROW
+    key_type, shift, bits = (np.uint32, 16, 32) if narrow else (np.uint64, 32, 64)
+    slots, factor = 1 << SLOT_BITS, 0x9E3779B97F4A7C15 >> (64 - bits) | 1
+    while len(seq) > 1:
+        room = min(RULES_A_ROUND, NARROW - terminals - len(rules)) if narrow else RULES_A_ROUND
+        if not room:
             break
+        factor = factor * 0x5851F42D4C957F2D % (1 << bits) | 1
         key = (seq[:-1].astype(key_type) << key_type(shift)) | seq[1:]
-        slot = ((key * factor) >> down).astype(np.intp)
-        slot[last[:-1]] = slots  # no pair crosses documents
+        slot = ((key * key_type(factor)) >> key_type(bits - SLOT_BITS)).astype(np.intp)
+        held = np.zeros(slots + 1, dtype=key_type)
+        held[slot] = key
+        slot[(held[slot] != key) | last[:-1]] = slots  # no pair crosses documents
         count = np.bincount(slot, minlength=slots + 1)
         count[slots] = 0
-        often = np.sort(count[count >= LEAST])
-        least = int(often[max(0, len(often) - 2 * RULES_A_ROUND)]) if len(often) else LEAST
-        at = np.flatnonzero((count >= least)[slot])
-        near, home = key[at], slot[at]
-        found, n = np.unique(near, return_counts=True)
-        found, n = found[n >= least], n[n >= least]
-        if not len(found):
-            break
-        chosen = found[np.argsort(-n, kind="stable")[:RULES_A_ROUND]]  # most frequent first, then by key
+        often = np.flatnonzero(count >= LEAST)
+        if not len(often):  # is there one that gave its slot to another?
+            inner = np.flatnonzero(~last[:-1])
+            found, n = np.unique(key[inner], return_counts=True)
+            found = found[np.argsort(n, kind="stable")][np.sort(n) >= LEAST]
+            if not len(found):
+                break
+            held[((found * key_type(factor)) >> key_type(bits - SLOT_BITS)).astype(np.intp)] = found  # the most frequent last
+            slot = ((key * key_type(factor)) >> key_type(bits - SLOT_BITS)).astype(np.intp)
+            slot[(held[slot] != key) | last[:-1]] = slots
+            count = np.bincount(slot, minlength=slots + 1)
+            count[slots] = 0
+            often = np.flatnonzero(count >= LEAST)
+        # The most frequent first, equals by their slots, that is at random: in the order of ids a run of rising ones would give way to one pair of it.
+        chosen = often[np.argsort(-count[often], kind="stable")[:room]]
         none = len(chosen)
-        # Of chosen pairs that share a slot the most frequent one stays; another round may take the others.
-        rank_of, key_of = np.full(slots + 1, none, dtype=np.int32), np.zeros(slots + 1, dtype=key_type)
-        own = ((chosen * factor) >> down).astype(np.intp)[::-1]
-        rank_of[own], key_of[own] = np.arange(none - 1, -1, -1), chosen[::-1]
+        rank_of = np.full(slots + 1, none, dtype=np.int32)
+        rank_of[chosen] = np.arange(none)
         rank = np.full(len(seq) + 1, none, dtype=np.int32)
-        rank[at + 1] = np.where(key_of[home] == near, rank_of[home], none)
+        rank[1:-1] = rank_of[slot]
+        chosen = held[chosen]
         here, before, after = rank[1:-1], rank[:-2], rank[2:]
         # Of overlapping pairs the more frequent one is taken; where a pair overlaps itself, as in a run of one id, every other one.
         some = np.flatnonzero((here < none) & (here <= after))
@@ -88,6 +102,8 @@ def compress(ids: np.ndarray, lengths: np.ndarray, terminals: int) -> tuple[np.n
         stay[taken + 1] = False
         seq, last = seq[stay], last[stay]
         rules = np.concatenate([rules, np.stack([chosen >> key_type(shift), chosen & key_type((1 << shift) - 1)], axis=1).astype(np.uint32)])
+        if len(taken) * PAYS < len(seq):
+            break
     ends = np.flatnonzero(last) + 1
     return rules, seq, np.diff(ends, prepend=0)
 
