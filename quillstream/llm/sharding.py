@@ -10,8 +10,8 @@ by one at most.
 Permutations follow seeded hashes of the row, so a task that is run again gives the
 same rows the same places.  A block's permutation is worked out on the hashes alone;
 where it is cut for a shard is a hash, too, so that the rows themselves, texts and
-all, go through one exchange, to their shards.  Only if some rows are equal in doc_id and
-text, which no hash tells apart, the rows meet in their blocks as well.
+all, go through one exchange, to their shards.  Only if some rows are equal in all
+columns, so that no hash tells them apart, the rows meet in their blocks as well.
 """
 
 from __future__ import annotations
@@ -29,38 +29,24 @@ SEED = 20_240_229
 #: Rows in a section of a shard, about, and in a block where their number allows; the least numbers of both, and the most
 #: blocks, which bounds what is broadcast to MOST_BLOCKS * shards cuts.
 BLOCK_ROWS, SECTION_ROWS, LEAST_BLOCKS, MOST_BLOCKS, LEAST_SECTIONS = 200_000, 50_000, 256, 4096, 16
-#: From so many rows on, draws are made here instead of by numpy, whose sampler ends there.
-NUMPY_ROWS = 1_000_000_000
+#: A draw looks at values up to so many deviations, and LEAST_REACH, from the likeliest one: what lies beyond has less chance than
+#: the last bit of a random number.
+REACH, LEAST_REACH = 12, 60
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """How many of n draws without replacement are good; for any sizes, by inversion from the most likely value outwards."""
-    low, high = max(0, n - bad), min(good, n)
+    """How many of n draws without replacement are good, for any sizes: the chances follow from the likeliest value's by their ratios."""
+    low, high, total = max(0, n - bad), min(good, n), good + bad
     if low == high:
         return low
-    if good + bad < NUMPY_ROWS:
-        return int(rng.hypergeometric(good, bad, n))
-    mode = min(high, max(low, (n + 1) * (good + 1) // (good + bad + 2)))
-    g = math.lgamma
-    at = lambda k: g(good + 1) - g(k + 1) - g(good - k + 1) + g(bad + 1) - g(n - k + 1) - g(bad - n + k + 1)
-    top = math.exp(at(mode) - (g(good + bad + 1) - g(n + 1) - g(good + bad - n + 1)))
-    u = rng.random() - top
-    up = down = mode
-    p_up = p_down = top
-    while u > 0 and (up < high or down > low):
-        if up < high:
-            p_up *= (good - up) / (up + 1) * (n - up) / (bad - n + up + 1)
-            up += 1
-            u -= p_up
-            if u <= 0:
-                return up
-        if down > low:
-            p_down *= down / (good - down + 1) * (bad - n + down) / (n - down + 1)
-            down -= 1
-            u -= p_down
-            if u <= 0:
-                return down
-    return mode
+    mode = min(high, max(low, (n + 1) * (good + 1) // (total + 2)))
+    reach = LEAST_REACH + int(REACH * math.sqrt(n * (good / total) * (bad / total) * ((total - n) / max(1, total - 1))))
+    first, last = max(low, mode - reach), min(high, mode + reach)
+    k = np.arange(last - first, dtype=np.float64) + first
+    steps = np.log(good - k) + np.log(n - k) - np.log(k + 1) - np.log(bad - n + k + 1)
+    log_chance = np.concatenate([[0.0], np.cumsum(steps)])
+    chance = np.cumsum(np.exp(log_chance - log_chance[mode - first]))
+    return first + min(int(np.searchsorted(chance, rng.random() * chance[-1], side="right")), last - first)
 
 
 def communication_matrix(blocks: list[int], shards: int, seed: int = SEED) -> np.ndarray:
@@ -79,9 +65,9 @@ def communication_matrix(blocks: list[int], shards: int, seed: int = SEED) -> np
     return out
 
 
-def _ranked(rows: DataFrame, matrix: DataFrame, *ties: str) -> DataFrame:
+def _ranked(rows: DataFrame, matrix: DataFrame) -> DataFrame:
     """Adds the shard: a row's rank in its block's permutation falls in one shard's part of it."""
-    rank = F.row_number().over(Window.partitionBy("_block").orderBy("_first", "_tie", *ties))
+    rank = F.row_number().over(Window.partitionBy("_block").orderBy("_first", "_tie"))
     placed = rows.withColumn("_rank", rank).join(F.broadcast(matrix), "_block")
     return placed.withColumn("shard", F.size(F.filter("_ends", lambda e: e < F.col("_rank")))).drop("_ends")
 
@@ -89,19 +75,20 @@ def _ranked(rows: DataFrame, matrix: DataFrame, *ties: str) -> DataFrame:
 def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """docs with shard (0 on) and slot (gapless from 0 in each shard), every row once, in a uniformly random order.
 
-    Shards' counts differ by one at most.  Rows are told apart by doc_id and text, either of which may be null; equal
+    Shards' counts differ by one at most.  Rows are told apart by all their columns, any of which may be null; equal
     rows get places of their own.  An empty table gives no rows.  Columns of docs named shard or slot are replaced; others
     may have any name.
     """
     spark = docs.sparkSession
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")]).alias("_row")
-    text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("string")
+    # Every column: rows of one draw are equal altogether, so it doesn't matter which of them a task that runs again puts first.
+    every = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if any(k in f.dataType.simpleString() for k in ("map<", "variant")) else F.col(f"`{f.name}`") for f in docs.schema.fields if f.name.lower() not in ("shard", "slot")]
     total = docs.count()
     blocks = min(MOST_BLOCKS, max(LEAST_BLOCKS, -(-total // BLOCK_ROWS)))
     sections = max(LEAST_SECTIONS, -(-total // (SECTION_ROWS * shards)))
 
     def keyed(*columns: Column) -> DataFrame:
-        draw = lambda k: F.xxhash64(F.lit(seed + k), doc_id, text)
+        draw = lambda k: F.xxhash64(F.lit(seed + k), *every)
         return docs.select(*columns, F.pmod(draw(0), F.lit(blocks)).cast("int").alias("_block"), draw(1).alias("_first"), draw(4).alias("_tie"), F.pmod(draw(2), F.lit(sections)).cast("int").alias("_section"), draw(3).alias("_second"))
 
     keys = written(keyed().drop("_second"), "shard-keys")
@@ -121,6 +108,6 @@ def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED)
         rows = keyed(row).join(F.broadcast(cuts), "_block")  # MOST_BLOCKS * shards cuts at most
         sent = rows.withColumn("shard", F.element_at(F.filter("_cuts", lambda c: c["end"] >= F.struct("_first", "_tie")), 1)["shard"]).drop("_cuts")
     else:
-        sent = _ranked(keyed(row), matrix_rows, "_row.doc_id", "_row.text")
-    order = F.row_number().over(Window.partitionBy("shard", "_section").orderBy("_second", "_tie", "_row.doc_id", "_row.text"))
+        sent = _ranked(keyed(row), matrix_rows)
+    order = F.row_number().over(Window.partitionBy("shard", "_section").orderBy("_second", "_tie"))
     return sent.withColumn("_order", order).join(begin_rows, ["shard", "_section"]).select("_row.*", "shard", (F.col("_begin") + F.col("_order") - 1).alias("slot"))

@@ -36,15 +36,15 @@ def test_base_rules_and_scores(spark):
     split = [(r["doc_id"], re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for r in grams]
     seen = sorted({w for _, ws in split for w in ws})
     pairs = sorted({p for _, ws in split for p in zip(ws, ws[1:])})
-    one = {r["w"]: r["b"] for r in spark.createDataFrame([(w,) for w in seen], "w string").select("w", quality.bucket("w").alias("b")).collect()}
-    two = {(r["x"], r["y"]): r["b"] for r in spark.createDataFrame(pairs, "x string, y string").select("x", "y", quality.bucket("x", "y").alias("b")).collect()}
-    buckets = [(d, [one[w] for w in ws] + [two[p] for p in zip(ws, ws[1:])]) for d, ws in split]
-    raw, target, copies = Counter(), Counter(), Counter(r["text"] for r in grams)
-    for (d, bs), r in zip(buckets, grams):
-        part = quality.ONE // copies[r["text"]] / quality.ONE  # so few documents that every copied text is over a thousandth of them
+    one = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in seen], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    two = {(r["x"], r["y"]): r["h"] for r in spark.createDataFrame([(*p, *map(one.get, p)) for p in pairs], "x string, y string, a long, b long").select("x", "y", F.xxhash64("a", "b").alias("h")).collect()}
+    buckets = [(d, [h % quality.BUCKETS for h in [one[w] for w in ws] + [two[p] for p in zip(ws, ws[1:])]]) for d, ws in split]
+    trusted = {r["text"] for (d, _), r in zip(buckets, grams) if d is not None and d < 30 and d % 2 == 1}
+    raw, target = Counter(), Counter()
+    for (_, bs), r in zip(buckets, grams):
         for b in bs:
-            raw[b] += part
-            target[b] += part * (d is not None and d < 30 and d % 2 == 1)
+            raw[b] += 1
+            target[b] += r["text"] in trusted
     share = lambda c, b: (c[b] + quality.SMOOTHING) / (c.total() + quality.SMOOTHING * quality.BUCKETS)
     wanted = sorted(sum(math.log(share(target, b) / share(raw, b)) for b in bs) / len(bs) for _, bs in buckets if bs)
     assert np.allclose(sorted(r["score"] for r in got if r["score"] is not None), wanted, atol=1e-9)
@@ -75,23 +75,37 @@ def test_built_in_functions_only(spark):
 
 
 def test_hypergeometric_law():
+    from math import comb
+
     rng = np.random.default_rng(1)
-    drawn = [sharding.hypergeometric(rng, 30, 50, 20) for _ in range(4000)]
-    sharding.NUMPY_ROWS, kept = 0, sharding.NUMPY_ROWS  # the other way of drawing
-    try:
-        other = [sharding.hypergeometric(rng, 30, 50, 20) for _ in range(4000)]
-        big = [sharding.hypergeometric(rng, 10**10, 3 * 10**10, 10**6) for _ in range(40)]
-    finally:
-        sharding.NUMPY_ROWS = kept
-    for x in (drawn, other):
-        assert abs(np.mean(x) - 7.5) < 0.15 and abs(np.var(x) - 20 * 30 / 80 * 50 / 80 * 60 / 79) < 0.35
-    assert abs(np.mean(big) - 250_000) < 400
-
-
-@pytest.mark.parametrize("sizes", [[0, 0], [5, 0, 7], [100] * 30, [1]])
-def test_matrix_sums(sizes):
-    m = sharding.communication_matrix(sizes, 24)
-    assert m.sum(axis=1).tolist() == sizes and m.min() >= 0 and m.sum(axis=0).max() - m.sum(axis=0).min() <= 1
+    drawn = Counter(sharding.hypergeometric(rng, 30, 50, 20) for _ in range(20_000))
+    for k in range(21):
+        chance = comb(30, k) * comb(50, 20 - k) / comb(80, 20)
+        assert abs(drawn[k] / 20_000 - chance) < 5 * math.sqrt(chance * (1 - chance) / 20_000) + 1e-4
+    assert sharding.hypergeometric(rng, 0, 5, 3) == 0 and sharding.hypergeometric(rng, 5, 0, 3) == 3 and sharding.hypergeometric(rng, 2, 3, 5) == 2
+
+
+class Fixed:
+    """A generator that gives one number."""
+
+    def __init__(self, u):
+        self.u = u
+
+    def random(self):
+        return self.u
+
+
+def test_hypergeometric_of_large_tables():
+    import time
+
+    good, bad, n = 4 * 10**9, 96 * 10**9, 24_000_000
+    mean, deviation = n * good / (good + bad), math.sqrt(n * 0.04 * 0.96)
+    rng, began = np.random.default_rng(2), time.perf_counter()
+    drawn = [sharding.hypergeometric(rng, good, bad, n) for _ in range(400)]
+    assert abs(np.mean(drawn) - mean) < 5 * deviation / 20 and 0.85 < np.std(drawn) / deviation < 1.15
+    tails = [sharding.hypergeometric(Fixed(u), good, bad, n) for u in (0.0, 1e-5, 0.5, 0.9999, 0.99999, 1 - 2**-53)]
+    assert tails == sorted(tails) and abs(tails[2] - mean) < 2 and tails[-1] < mean + 13 * deviation and tails[0] > mean - 13 * deviation
+    assert abs((tails[3] - mean) / deviation - 3.719) < 0.05 and time.perf_counter() - began < 10
 
 
 def check_shards(rows, found, shards):
