@@ -18,8 +18,6 @@ from quillstream.llm.common import BLANKS, in_sample, let, settled, words, writt
 SAMPLE_DOCS = 20_000
 #: Hash buckets, pseudo-counts per bucket, and the least mean log ratio that is kept where labels don't say.
 BUCKETS, SMOOTHING, THRESHOLD = 1 << 16, 0.5, -0.3
-#: What one occurrence counts, so that parts of one are whole numbers, which add up to the same in any order.
-ONE = 1_000_000
 #: The base rules: fewer words fail, and so does a larger percentage of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
@@ -27,27 +25,29 @@ SYMBOLS = "#*$%&|<>"
 LEAST_LABELLED, STEPS = 20, 1000
 
 
-def repeated_words(found: Column) -> Column:
-    """How many words stand in three-word windows that the text has twice or more."""
+def neighbours(hashes: Column) -> Column:
+    """A hash for every two words next to each other."""
+    return F.zip_with(F.slice(hashes, 1, F.greatest(F.size(hashes) - 1, F.lit(0))), F.slice(hashes, 2, F.greatest(F.size(hashes), F.lit(1))), lambda a, b: F.xxhash64(a, b))
 
-    def counted(hashes: Column) -> Column:
+
+def repeated_words(hashes: Column, pairs: Column) -> Column:
+    """How many words stand in three-word windows that the text has twice or more, from hashes of words and of their pairs."""
+
+    def counted(found: Column) -> Column:
         """Windows that occur again, found next to each other once sorted; each adds the words that the one before does not cover."""
-        ordered = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        ordered = F.array_sort(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         same = lambda s, i, j: F.coalesce(F.get(s, j)["h"] == F.get(s, i)["h"], F.lit(False))
         places = let(ordered, lambda s: F.array_sort(F.transform(F.filter(s, lambda x, i: same(s, i, i - 1) | same(s, i, i + 1)), lambda x: x["i"])))
         start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
         step = lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"))
         return F.aggregate(places, start, step, lambda a: a["n"])
 
-    def of(w: Column) -> Column:
-        windows = F.transform(F.sequence(F.lit(2), F.size(w) - 1), lambda k: F.xxhash64(F.get(w, k - 2), F.get(w, k - 1), F.get(w, k)))
-        return F.when(F.size(w) < 3, F.lit(0)).otherwise(let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(counted(h))))
-
-    return let(found, of)
+    windows = F.zip_with(F.slice(pairs, 1, F.greatest(F.size(pairs) - 1, F.lit(0))), F.slice(hashes, 3, F.greatest(F.size(hashes), F.lit(1))), lambda p, c: F.xxhash64(p, c))
+    return F.when(F.size(hashes) < 3, F.lit(0)).otherwise(let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(counted(h))))
 
 
-def bucket(*x: Column) -> Column:
-    return F.pmod(F.xxhash64(*x), F.lit(BUCKETS)).cast("int")
+def bucket(hashed: Column) -> Column:
+    return F.pmod(hashed, F.lit(BUCKETS)).cast("int")
 
 
 def trusted_sample(labels: DataFrame) -> DataFrame:
@@ -59,23 +59,21 @@ def trusted_sample(labels: DataFrame) -> DataFrame:
 def ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """bucket and ratio, the log ratio of its share in trusted documents to that in all, for every bucket; all 0 without trusted words.
 
-    A text that makes up over a thousandth of all documents counts once, however many copies of it there are: what is
-    copied often would else look unlike the trusted documents.
+    Every row counts.  A text is trusted if one of its documents is, and then all its copies are, so that a clean text that is
+    copied often weighs as much on one side as on the other.
     """
     text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    total = docs.count()
-    copies = docs.groupBy(text_hash.alias("_copied")).agg(F.count("*").alias("_copies")).where((F.col("_copies") > 1) & (F.col("_copies") * 1000 > total))
-    trusted = F.broadcast(trusted_sample(labels).select(F.col("doc_id").alias("_trusted")))  # about SAMPLE_DOCS rows at most
-    rows = docs.select(F.col("doc_id").cast("long").alias("_doc_id"), text_hash.alias("_hash"), words(F.col("text")).alias("_words"))
-    known = rows.join(trusted, rows["_doc_id"] == F.col("_trusted"), "left").join(F.broadcast(copies), rows["_hash"] == F.col("_copied"), "left")  # under 1000 texts
-    weight = F.greatest(F.lit(1), F.floor(F.lit(ONE) / F.coalesce("_copies", F.lit(1)))).cast("long")
-    found = known.select(F.col("_trusted").isNotNull().alias("good"), weight.alias("weight"), F.col("_words").alias("w"))
-    pairs = found.select("good", "weight", F.inline(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))))
-    grams = pairs.select("good", "weight", F.explode(F.array(bucket("a"), F.when(F.col("b").isNotNull(), bucket("a", "b")))).alias("bucket")).where("bucket is not null")
-    sums = grams.groupBy("bucket").agg(F.sum("weight").alias("raw"), F.sum(F.when(F.col("good"), F.col("weight"))).alias("target"))
-    counts = written(sums.select("bucket", *[(F.coalesce(c, F.lit(0)) / ONE).alias(c) for c in ("raw", "target")]), "ngram-counts")
+    sample = F.broadcast(trusted_sample(labels).select(F.col("doc_id").alias("_trusted")))  # about SAMPLE_DOCS rows at most
+    known = docs.select(F.col("doc_id").cast("long").alias("_doc_id"), text_hash.alias("_hash")).join(sample, F.col("_doc_id") == F.col("_trusted"))
+    # One text of each trusted doc_id, so that they are no more than the sample.
+    trusted = F.broadcast(known.groupBy("_doc_id").agg(F.min("_hash").alias("_good")).select("_good").distinct())
+    rows = docs.select(text_hash.alias("_hash"), F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("w"))
+    found = rows.join(trusted, F.col("_hash") == F.col("_good"), "left").select(F.col("_good").isNotNull().alias("good"), "w")
+    pairs = found.select("good", F.inline(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))))
+    grams = pairs.select("good", F.explode(F.array(bucket(F.col("a")), F.when(F.col("b").isNotNull(), bucket(F.xxhash64("a", "b"))))).alias("bucket")).where("bucket is not null")
+    counts = written(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("good").alias("target")), "ngram-counts")
     totals = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
-    share = lambda c: F.log((F.coalesce(F.col(c), F.lit(0.0)) + SMOOTHING) / ((totals[c] or 0) + SMOOTHING * BUCKETS))
+    share = lambda c: F.log((F.coalesce(F.col(c), F.lit(0)) + SMOOTHING) / ((totals[c] or 0) + SMOOTHING * BUCKETS))
     ratio = share("target") - share("raw") if totals["target"] else F.lit(0.0)
     return docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").select("bucket", ratio.alias("ratio"))
 
@@ -114,18 +112,19 @@ def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names])
 
-    def of(w: Column) -> Column:
-        single = F.aggregate(w, F.lit(0.0), lambda a, x: a + F.get(lookup, bucket(x)))
-        second = F.slice(w, 2, F.greatest(F.size(w), F.lit(1)))
-        double = F.aggregate(F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), second, lambda a, b: bucket(a, b)), F.lit(0.0), lambda a, b: a + F.get(lookup, b))
-        return F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words"), ((single + double) / F.nullif(2 * F.size(w) - 1, F.lit(-1))).alias("score"))
+    def of(hashes: Column) -> Column:
+        total = lambda found: F.aggregate(found, F.lit(0.0), lambda a, h: a + F.get(lookup, bucket(h)))
+        n = F.size(hashes)
+        return let(neighbours(hashes), lambda pairs: F.struct(
+            n.cast("long").alias("n_words"), repeated_words(hashes, pairs).cast("long").alias("n_repeat_words"),
+            ((total(hashes) + total(pairs)) / F.nullif(2 * n - 1, F.lit(-1))).alias("score")))
 
     found = settled(
         docs.select(row.alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")),
         F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        let(words(text), of).alias("_w"),
+        let(F.transform(words(text), lambda w: F.xxhash64(w)), of).alias("_w"),
     )
     failed = (F.col("_w.n_words") < LEAST_WORDS) | (100 * F.col("_w.n_repeat_words") > MOST_REPEATED * F.col("_w.n_words"))
     judged = written(found.select("_row", F.col("_id"), "_w.n_words", "word_chars", "n_symbols", "n_dup_lines", "_w.n_repeat_words", failed.alias("base_failed"), "_w.score"), "judged-documents")
