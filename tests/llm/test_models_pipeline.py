@@ -23,29 +23,42 @@ def languages(n=60):
     return rows, words
 
 
-def slow_phrases(text, codes, table):
-    """Longest matches in the training text, one after the other, cut at the segments' ends."""
-    total = 0
-    for k in range(0, max(len(text), 1), langid.SEGMENT):
-        part, at = [codes.get(c, 0) for c in text[k:k + langid.SEGMENT]], 0
-        while at < len(part):
-            n = 0
-            while at + n < len(part) and part[at + n] and bytes(part[at:at + n + 1]) in table:
-                n += 1
-            total, at = total + 1, at + max(n, 1)
+def slow_phrases(data: bytes, known: bytes) -> int:
+    """Longest matches in the training text, one after the other."""
+    total = at = 0
+    while at < len(data):
+        n = 0
+        while at + n < len(data) and data[at:at + n + 1] in known:
+            n += 1
+        total, at = total + 1, at + max(n, 1)
     return total
 
 
-def test_phrases_are_longest_matches():
+@pytest.mark.parametrize("segment", [1, 5, 64, 512])
+def test_phrases_are_longest_matches(segment):
     rng = random.Random(1)
-    texts = {"x": "abracadabra abra cad", "y": "the cat sat on the mat é"}
+    texts = {"x": "abracadabra abra cad".encode(), "y": "the cat sat on the mat é".encode(), "z": "中文字漢字 кот и кит".encode()}
     model = langid.Model(texts)
-    for _ in range(60):
-        t = "".join(rng.choice("abrcdt éx?\n") for _ in range(rng.randint(0, 600)))
-        got = model.phrases([t])[0]
+    made = ["".join(rng.choice("abrcdt éx?\n中кит") for _ in range(rng.randint(0, 600))) for _ in range(40)]
+    made += ["abracadabra" * 60, "the cat sat on the mat " * 40, "", "é"]
+    for t, got in zip(made, model.phrases(made, segment)):
         for k, lang in enumerate(model.languages):
-            known = bytes(model.codes.get(c, 0) for c in texts[lang])
-            assert got[k] == pytest.approx(slow_phrases(langid.normalised(t), model.codes, known) * model.bits[k])
+            assert got[k] == pytest.approx(slow_phrases(langid.normalised(t).encode(), texts[lang]) * model.bits[k])
+
+
+def test_scripts_without_a_common_letter():
+    """Alphabets of 800 letters each: short texts of them are told apart."""
+    rng = random.Random(5)
+    scripts = {"a": [chr(0x4E00 + k) for k in range(800)], "b": [chr(0xAC00 + k) for k in range(800)]}
+    of = lambda s, n: "".join(rng.choice(scripts[s]) for _ in range(n))
+    model = langid.Model({s: of(s, 4000).encode() for s in scripts})
+    for s in scripts:
+        assert set(model.predict([of(s, 12) for _ in range(50)])[0]) == {s}
+
+
+def test_no_letter_no_language():
+    model = langid.Model({"a": b"abc"})
+    assert model.predict(["²½①", "Ⅷ 12", "_-", "", None])[0] == ["und"] * 5 and model.predict(["a", "ª", "中"])[0] == ["a"] * 3
 
 
 def test_automaton_accepts_substrings_alone():
