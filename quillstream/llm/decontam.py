@@ -20,14 +20,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import byte_slices, written
+from quillstream.llm.common import byte_slices, received, sent, written
 
 #: Words in a seed; seeds that chance would put in more words than one in 1 / RARE are left out, but each item keeps LEAST_SEEDS.
 SEED_WORDS, RARE, LEAST_SEEDS = 3, 1e-8, 8
 #: Smith-Waterman scores of a word: equal, different, left out.
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: A passage counts if its alignment has at least this share of the item's own score, and the item at least so many words.
-THRESHOLD, LEAST_WORDS = 0.5, 5
+#: A passage counts if its alignment has this share of the item's own score, or the score of so many equal words.  An item of
+#: fewer than LEAST_WORDS words counts only whole.
+THRESHOLD, ENOUGH_WORDS, LEAST_WORDS = 0.5, 30, 5
 BLOCK_BYTES = 8_000_000
 
 WORD = r"\w+"
@@ -37,86 +38,107 @@ def words(text: str | None) -> list[str]:
     return re.findall(WORD, (text or "").lower())
 
 
-def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
-    """The best local alignment of two word-id arrays: its score, and start and end (exclusive) in the passage; ids under 0 match nothing."""
+def best_ends(item: np.ndarray, passage: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each end (exclusive) in the passage the score of the best local alignment of two word-id arrays that ends there, and
+    its start; ids under 0 match nothing.  Takes the room of a few rows of the table, whatever the item's length."""
     n = len(passage)
     steps = np.arange(n + 1) * -GAP
-    table = np.zeros((len(item) + 1, n + 1), dtype=np.int32)
-    for i, w in enumerate(item.tolist(), 1):
-        row = np.maximum(table[i - 1, :-1] + np.where(passage == w, MATCH if w >= 0 else MISMATCH, MISMATCH), table[i - 1, 1:] + GAP)
-        full = np.maximum(np.append(0, row), 0)
-        table[i] = np.maximum.accumulate(full + steps) - steps  # gaps in the item
-    end = int(table.argmax())
-    i, j = divmod(end, n + 1)
-    score, stop = int(table[i, j]), j
-    while table[i, j] > 0:
-        here = table[i, j]
-        same = item[i - 1] == passage[j - 1] and item[i - 1] >= 0
-        if here == table[i - 1, j - 1] + (MATCH if same else MISMATCH):
-            i, j = i - 1, j - 1
-        elif here == table[i - 1, j] + GAP:
-            i -= 1
-        else:
-            j -= 1
-    return score, j, stop
+    place = np.arange(n + 1)
+    above, begun = np.zeros(n + 1, dtype=np.int64), place.copy()
+    best, start = np.zeros(n + 1, dtype=np.int64), place.copy()
+    for w in item.tolist():
+        equal = (passage == w) & (w >= 0)
+        diagonal, down = above[:-1] + np.where(equal, MATCH, MISMATCH), above[1:] + GAP
+        row, since = np.zeros(n + 1, dtype=np.int64), place.copy()
+        row[1:] = np.maximum(np.maximum(diagonal, down), 0)
+        since[1:] = np.where(row[1:] == 0, place[1:], np.where(diagonal >= down, begun[:-1], begun[1:]))
+        lifted = row + steps  # gaps in the item
+        most = np.maximum.accumulate(lifted)
+        source = np.maximum.accumulate(np.where(lifted == most, place, 0))
+        above, begun = most - steps, since[source]
+        better = above > best
+        best[better], start[better] = above[better], begun[better]
+    return best, start
+
+
+def align_all(item: np.ndarray, passage: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Score, start and end of passages that don't overlap, the best ones first taken, until no other reaches ``least``."""
+    out, todo = [], [(0, len(passage))]
+    while todo:
+        a, b = todo.pop()
+        if (b - a) * MATCH < least:
+            continue
+        score, start = best_ends(item, passage[a:b])
+        free, found = np.ones(b - a, dtype=bool), []
+        ends = np.flatnonzero(score >= least)
+        for j in ends[np.argsort(-score[ends], kind="stable")].tolist():
+            if free[start[j]:j].all():
+                free[start[j]:j] = False
+                found.append((int(score[j]), a + int(start[j]), a + j))
+        if found:  # what is left on either side is aligned again, by itself
+            edges = [a, *sorted(x for _, s, e in found for x in (s, e)), b]
+            todo += zip(edges[::2], edges[1::2])
+            out += found
+    return sorted(out, key=lambda x: x[1:])
 
 
 class Index:
     """The rare seeds of a block of items, as word ids."""
 
     def __init__(self, items: list[tuple[int | None, str]], counts: dict[str, int], total: int):
-        self.items = [(k, w) for k, text in items if len(w := words(text)) >= LEAST_WORDS]
+        self.items = [(k, w) for k, text in items if (w := words(text))]
         self.vocabulary = {w: k for k, w in enumerate(sorted({x for _, ws in self.items for x in ws}))}
         self.size = len(self.vocabulary) + 1
         share = {w: (counts.get(w, 0) + 1) / (total + 1) for w in self.vocabulary}
         self.ids = [np.array([self.vocabulary[x] for x in ws]) for _, ws in self.items]
-        keys, item_of, place = [], [], []
+        self.least = [MATCH * len(ws) if len(ws) < LEAST_WORDS else min(THRESHOLD * MATCH * len(ws), MATCH * ENOUGH_WORDS) for _, ws in self.items]
+        seeds: dict[int, list[tuple[int, int, int]]] = {}  # by width: key, item, place in the item
         for k, ((_, ws), ids) in enumerate(zip(self.items, self.ids)):
-            chance = [share[a] * share[b] * share[c] for a, b, c in zip(ws, ws[1:], ws[2:])]
-            kept = sorted(chance)[: LEAST_SEEDS][-1]
-            for at, p in enumerate(chance):
-                if p <= max(RARE, kept):
-                    keys.append(self.key(*ids[at:at + 3].tolist()))
-                    item_of.append(k)
-                    place.append(at)
-        order = np.argsort(np.array(keys, dtype=np.int64), kind="stable")
-        self.keys, self.item_of, self.place = (np.array(x, dtype=np.int64)[order] for x in (keys, item_of, place))
-
-    def key(self, a, b, c):
-        return (a * self.size + b) * self.size + c
+            width = min(SEED_WORDS, len(ws))  # a shorter item is its own seed
+            chance = np.prod([[share[w] for w in ws[j:len(ws) - width + 1 + j]] for j in range(width)], axis=0)
+            kept = max(RARE, np.sort(chance)[:LEAST_SEEDS][-1])
+            seeds.setdefault(width, []).extend((self.key(ids[at:at + width].tolist()), k, at) for at in np.flatnonzero(chance <= kept).tolist())
+        self.seeds = {width: np.array(sorted(rows), dtype=np.int64).T for width, rows in seeds.items()}
+
+    def key(self, ids):
+        out = 0
+        for x in ids:
+            out = out * self.size + x
+        return out
 
     def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where seeds stand among word ids (-1: a word of no item): position, item and place in the item of each hit."""
-        a, b, c = ids[:-2], ids[1:-1], ids[2:]
-        at = np.flatnonzero((a >= 0) & (b >= 0) & (c >= 0))
-        key = self.key(a[at], b[at], c[at])
-        first = np.searchsorted(self.keys, key)
-        some = np.flatnonzero((first < len(self.keys)) & (self.keys[np.minimum(first, len(self.keys) - 1)] == key)) if len(self.keys) else first[:0]
-        first, at = first[some], at[some]
-        n = np.searchsorted(self.keys, key[some], side="right") - first
-        hit = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.repeat(at, n), self.item_of[hit], self.place[hit]
+        out = [np.zeros((3, 0), dtype=np.int64)]
+        for width, (keys, item_of, place) in self.seeds.items():
+            parts = [ids[j:len(ids) - width + 1 + j] for j in range(width)]
+            at = np.flatnonzero(np.logical_and.reduce([p >= 0 for p in parts]))
+            key = self.key([p[at] for p in parts])
+            first = np.searchsorted(keys, key)
+            some = np.flatnonzero(keys[np.minimum(first, len(keys) - 1)] == key)
+            first, at = first[some], at[some]
+            n = np.searchsorted(keys, key[some], side="right") - first
+            hit = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            out.append(np.stack([np.repeat(at, n), item_of[hit], place[hit]]))
+        at, item, place = np.concatenate(out, axis=1)
+        order = np.argsort(at, kind="stable")
+        return at[order], item[order], place[order]
 
     def passages(self, ids: np.ndarray, hits) -> list[tuple[int, float, int, int]]:
-        """Item, score, first word and end of each passage that reaches the threshold; overlapping windows of an item are one."""
+        """Item, score, first word and end of each passage that reaches its item's least score; overlapping windows of an item are one."""
         out = []
         spans: dict[int, list[list[int]]] = {}
         for at, item, place in sorted(zip(*(x.tolist() for x in hits)), key=lambda h: (h[1], h[0] - h[2])):
             n = len(self.ids[item])
             a, b = max(0, at - place - n // 4 - 4), min(len(ids), at - place + n + n // 4 + 4)
             row = spans.setdefault(item, [])
-            if row and a <= row[-1][1] and b - row[-1][0] <= 4 * n:
+            if row and a <= row[-1][1]:
                 row[-1][1] = max(b, row[-1][1])
             else:
                 row.append([a, b])
         for item, row in spans.items():
             full = MATCH * len(self.ids[item])
-            best: dict[tuple[int, int], float] = {}
             for a, b in row:
-                score, start, stop = align(self.ids[item], ids[a:b])
-                if score >= THRESHOLD * full:
-                    best[a + start, a + stop] = score / full
-            out += [(item, score, a, b) for (a, b), score in best.items()]
+                out += [(item, score / full, a + s, a + e) for score, s, e in align_all(self.ids[item], ids[a:b], self.least[item])]
         return out
 
 
@@ -149,9 +171,10 @@ def corpus_counts(docs: DataFrame, vocabulary: set[str]) -> tuple[dict[str, int]
 LEAKS = "doc_id long, text_hash long, item_id long, score double, first_word int, end_word int, start int, end int"
 
 
-def _scan(batches, index: Index):
+def _scan(batches, index):
     import pyarrow as pa
 
+    index = received(index)
     get = index.vocabulary.get
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
     for whole in batches:
@@ -183,8 +206,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per passage of a document that copies a test item, with edits or without.
 
     doc_id and text_hash (xxhash64 of the text, null as empty) name the document; score is the alignment's share of the
-    item's own score, 0.5 to 1; first_word and end_word, start and end (code points) say where, ends exclusive.  A null
-    or empty text has no passage; items of fewer than five words are not looked for; items with one text are all
+    item's own score, 0.5 to 1, or less in a passage that has the score of ENOUGH_WORDS equal words; first_word and end_word,
+    start and end (code points) say where, ends exclusive.  An item's passages don't overlap, and between them is none.  A null
+    or empty text has no passage; an item of fewer than five words counts only whole; items with one text are all
     reported; rows with one doc_id are searched each; an empty table on either side gives no row; other columns are
     left behind.
     """
@@ -192,20 +216,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks, found = max(1, -(-size // BLOCK_BYTES)), None
-    sc = docs.sparkSession.sparkContext
     for k in range(blocks):
         block = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()]  # about BLOCK_BYTES
         vocabulary = Counter(w for _, text in block for w in words(text))
-        index = sc.broadcast(Index(block, *corpus_counts(narrow, set(vocabulary))))
-        rows = narrow.mapInArrow(lambda it, index=index: _scan(it, index.value), LEAKS)
+        index = sent(docs.sparkSession, Index(block, *corpus_counts(narrow, set(vocabulary))))
+        rows = narrow.mapInArrow(lambda it, index=index: _scan(it, index), LEAKS)
         if blocks > 1:
             rows = written(rows, "leaks")
         found = rows if found is None else found.unionByName(rows)
     return found
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no passage of a test item was found, with all their columns."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash")).distinct()
+def without_leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = 3) -> DataFrame:
+    """The documents in which no passage of a test item was found, with all their columns.
+
+    Passages of fewer than ``least_words`` words don't count: an item of a word or two stands in any text.
+    """
+    found = leaks(docs, benchmark).where(F.col("end_word") - F.col("first_word") >= least_words)
+    bad = found.select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash")).distinct()
     own = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     return docs.join(bad, (own == bad["_text_hash"]) & docs["doc_id"].cast("long").eqNullSafe(bad["_doc_id"]), "left_anti")
