@@ -9,6 +9,8 @@ So any two texts of a key are in one component, or were held against one another
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,10 +75,11 @@ def _mapped(docs: DataFrame, name: str, of) -> DataFrame:
     return docs.select("doc_id", "text_hash", "text").mapInArrow(run, f"doc_id long, text_hash long, n_shingles long, {name} array<long>")
 
 
-def copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def copies(docs: DataFrame, similarity: float = SIMILARITY, met_before: DataFrame | None = None) -> DataFrame:
     """doc_id, text_hash, component_id (the least doc_id, null if there is none) and root (the least text_hash) of every document.
 
     docs: doc_id (long), text_hash and text, others are left behind.  Equal texts are one; rows without a doc_id take part.
+    met_before: pairs a, b of text_hash that another search brought together; they are held against one another as well.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text_hash", F.col("text").cast("string").alias("text"))
     each = written(_mapped(narrow, "keys", keys), "text-keys")
@@ -94,9 +97,14 @@ def copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     stars = met.where(F.col("c") != F.col("text_hash")).where(alike(F.col("n_shingles"), F.col("c_shingles")))
-    tried = written(stars.select(*pair(F.col("text_hash"), F.col("c"))).distinct(), "pairs")
+    tried = stars.select(*pair(F.col("text_hash"), F.col("c")))
+    others = [met.select("text_hash")]
+    if met_before is not None:
+        tried = tried.union(met_before.where("a <> b").select(*pair(F.col("a"), F.col("b"))))
+        others += [met_before.select(F.col(side).alias("text_hash")) for side in "ab"]
+    tried = written(tried.distinct(), "pairs")
     # The set of each text that met another, made of one row with that text.
-    wanted = met.select("text_hash").distinct().join(distinct, "text_hash").select(F.col("text_hash").alias("_h"), F.col("first").alias("_first"))
+    wanted = reduce(DataFrame.union, others).distinct().join(distinct, "text_hash").select(F.col("text_hash").alias("_h"), F.col("first").alias("_first"))
     some = narrow.join(wanted, (narrow["text_hash"] == F.col("_h")) & narrow["doc_id"].eqNullSafe(F.col("_first")), "left_semi")
     sets = written(_mapped(some, "hashes", lambda s: s).dropDuplicates(["text_hash"]).select("text_hash", "hashes"), "shingle-sets")
 

@@ -7,9 +7,9 @@ partition is not looked at).  Correlated bits go to one partition; the threshold
 come from a dynamic program over the candidates each would give, estimated from the
 agreement of bits over all fingerprints; candidates are probed and verified.
 
-Three bits of 64 find copies that differ in a few words.  keep_one() looks further, for a
-similarity of SIMILARITY over five-word shingles, which no radius of fingerprints finds
-whole: minhash.copies() brings texts together and decides by their shingles.
+Three bits of 64 find copies that differ in a few words.  keep_one() is owed all of a similarity of SIMILARITY over
+five-word shingles, which no radius of fingerprints finds whole: the links of this search and texts that
+minhash.copies() brings together are held against one another by their shingles.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from quillstream.llm.common import byte_slices, join_skewed, written
 from quillstream.llm.components import components
+from quillstream.llm.minhash import SHINGLE as COPY_SHINGLE
 from quillstream.llm.minhash import SIMILARITY, copies
 
 BITS = 64
@@ -319,13 +320,9 @@ def _changed(k: int, own, changes):
     return F.transform(changes, lambda c, i: F.struct(F.lit(k).alias("k"), own.bitwiseXOR(c).alias("sig"), (i > 0).alias("probe")))
 
 
-def near_links(distinct: DataFrame, radius: int = RADIUS, n: int = 1, limit: int | None = None) -> DataFrame:
-    """Links a, b between distinct rows of fingerprints (columns fp0 on) that connect all within ``limit`` bits of one another.
-
-    Two rows meet if any of their fingerprints are within the radius; with one fingerprint the limit is the radius.
-    a and b are longs, or structs of as many as there are fingerprints.
-    """
-    limit = radius if limit is None else limit
+def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Links a, b between distinct fingerprints (column fp0) that connect all within ``radius`` bits of one another."""
+    n, limit = 1, radius
     partitions = [(q, p) for q, c in enumerate(_columns(n)) for p in allocate(*agreement(distinct, c), radius)]
     signed = lambda x: x - (1 << BITS) if x >> (BITS - 1) else x
     signatures = []
@@ -345,24 +342,17 @@ def _key(columns: list[str]):
     return F.col(columns[0]) if len(columns) == 1 else F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(columns)])
 
 
-def bits_apart(similarity: float, bits: int) -> int:
-    """In how many of the bits texts of a similarity (Jaccard) differ: that of sets is 2s / (1 + s) as a cosine; and a deviation more, as bits scatter."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return round(bits * share + np.sqrt(bits * share * (1 - share)))
-
-
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, n: int = 1, limit: int | None = None) -> DataFrame:
-    """doc_id, text_hash, fingerprint (16 hex digits each), component_id and n_same (documents with that fingerprint) of every document.
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, text_hash, fingerprint (16 hex digits), component_id and n_same (documents with that fingerprint) of every document.
 
     A null text, or one without words, has fingerprint zero and is linked like any other; a text shorter than a
     shingle is one shingle.  Rows with one doc_id are linked by their own texts; a row without a doc_id takes part
     but can't name a component, which is null if it has no other rows.  Other columns are left behind.
-    With n fingerprints two texts are linked if any of these is within the radius and all together within ``limit`` bits.
     """
-    each = written(fingerprints(docs, shingle, n).withColumn("fp", _key(_columns(n))), "fingerprints")
-    distinct = written(each.groupBy("fp", *_columns(n)).agg(F.min("doc_id").alias("first"), F.count("*").alias("n_same")), "distinct-fingerprints")
+    each = written(fingerprints(docs, shingle).withColumn("fp", F.col("fp0")), "fingerprints")
+    distinct = written(each.groupBy("fp", "fp0").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_same")), "distinct-fingerprints")
     total = each.count()
-    roots = components(near_links(distinct, radius, n, limit))
+    roots = components(near_links(distinct, radius))
     # Only fingerprints with a link are in roots; a root itself is added to its own component.
     named = roots.union(roots.select("root", "root").distinct())
     member = written(named.toDF("fp", "root").join(distinct, "fp"), "linked-fingerprints")
@@ -370,25 +360,51 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     linked = join_skewed(member.select("fp", "root"), group, "root", "n_members", member.count()).select("fp", "component_id")
     by_print = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "n_same", F.col("n_same").alias("weight"))
     joined = join_skewed(each, by_print, "fp", "weight", total)
-    return joined.select("doc_id", "text_hash", F.lower(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in _columns(n)])).alias("fingerprint"), "component_id", "n_same")
+    return joined.select("doc_id", "text_hash", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id", "n_same")
+
+
+def near_texts(docs: DataFrame, shingle: int) -> DataFrame:
+    """Pairs a, b of text_hash that connect the texts whose fingerprints over shingles of so many words are linked.
+
+    Each text with the first one of its fingerprint, and the first ones of linked fingerprints with one another.
+    """
+    texts = written(fingerprints(docs, shingle).groupBy("text_hash").agg(F.first("fp0").alias("fp0")), "text-fingerprints")
+    distinct = written(texts.groupBy("fp0").agg(F.min("text_hash").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
+    named = join_skewed(texts, distinct, "fp0", "n", texts.count()).where("text_hash <> first").select(F.col("text_hash").alias("a"), F.col("first").alias("b"))
+    links = near_links(distinct)
+    for side in "ab":
+        links = links.join(distinct.select(F.col("fp0").alias(side), F.col("first").alias(f"{side}_first")), side)
+    return written(named.union(links.select("a_first", "b_first")), "near-texts")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents that name their component, with all their columns: one of each group of texts of that similarity.
+    """One document of each group of texts of that similarity, with all its columns: the one of the smallest doc_id.
 
-    Rows of one doc_id and text count as one document.  In a component without any doc_id all rows stay.
+    Texts that the fingerprints link, and those that minhash.copies() brings together beside them, are copies if the Jaccard of
+    their whole sets of five-word shingles says so.  Rows of one doc_id and text are one document; in a group without any
+    doc_id one row stays.
     """
-    near = copies(docs.select("doc_id", text_hash(docs).alias("text_hash"), "text"), similarity)
-    found = written(near.select("doc_id", "text_hash", "component_id"), "near-duplicates")
+    narrow = docs.select("doc_id", text_hash(docs).alias("text_hash"), "text")
+    near = copies(narrow, similarity, near_texts(docs, COPY_SHINGLE))
+    found = written(near.groupBy("doc_id", "text_hash").agg(F.first("component_id").alias("component_id"), F.first("root").alias("root"), F.count("*").alias("n")), "near-duplicates")
+    # Who stays: the documents that name their component, and of a component without a name the least text.
+    stays = F.when(F.col("component_id").isNotNull(), F.col("doc_id").eqNullSafe(F.col("component_id"))).otherwise(F.col("text_hash") == F.col("root"))
     keys = [F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash")]
 
     def same(left: DataFrame, right: DataFrame):
         return left["doc_id"].cast("long").eqNullSafe(right["_doc_id"]) & (text_hash(left) == right["_text_hash"])
 
-    out = found.where("component_id is not null and not doc_id <=> component_id").select(*keys).distinct()
+    out = found.where(~stays).select(*keys)
     kept = docs.join(out, same(docs, out), "left_anti")
-    again = found.where("doc_id <=> component_id and component_id is not null").groupBy(*keys).count().where("count > 1").drop("count")
+    # A kept doc_id may have several texts in its component, and a kept text several rows: one row of each component.
+    again = found.where(stays).groupBy("root").agg(F.sum("n").alias("rows"), F.min("text_hash").alias("least")).where("rows > 1")
     if again.isEmpty():
         return kept
-    once = kept.join(again, same(kept, again), "left_anti")
-    return once.unionByName(kept.join(again, same(kept, again), "left_semi").dropDuplicates(["doc_id", "text"]))
+    once = found.where(stays).join(again.select("root", "least"), "root").select(*keys, F.col("text_hash") == F.col("least"))
+    once = written(once.toDF("_doc_id", "_text_hash", "_least"), "kept-rows")
+    single = kept.join(once, same(kept, once), "left_anti")
+    least = once.where("_least").drop("_least")
+    several = kept.join(least, same(kept, least), "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    one = several.select(row, F.col("doc_id").alias("_id"), text_hash(several).alias("_hash")).dropDuplicates(["_id", "_hash"])
+    return single.unionByName(one.select("_row.*"))

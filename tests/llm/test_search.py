@@ -105,6 +105,14 @@ def jaccard(a, b):
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
 
 
+def test_one_stays_of_texts_without_a_doc_id(spark):
+    rng = random.Random(21)
+    text, other = (cases.prose(rng, cases.vocabulary(12, 900), 80) for _ in range(2))
+    rows = [(None, text, "en", "s", 0)] * 3 + [(None, text + " more", "en", "s", 0), (None, None, "en", "s", 0), (None, "", "en", "s", 0), (3, other, "en", "s", 0), (3, other + " end", "en", "s", 0)]
+    kept = simhash.keep_one(cases.clashing(cases.frame(spark, rows))).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == ["3", "None", "None"] and sum((r["text"] or "").startswith(text) for r in kept) == 1
+
+
 def test_keep_one_of_similar_texts(spark):
     rng, rows = random.Random(9), cases.documents(5, 120)
     for k in range(40, 100):  # copies of long texts with a word changed here and there
@@ -121,9 +129,6 @@ def test_keep_one_of_similar_texts(spark):
     copies = [k for k in range(40, 100) if jaccard(rows[k][1], next(r[1] for r in rows if r[0] == 1000 + k)) >= 0.9]
     assert len(copies) > 40 and sum(1000 + k in ids for k in copies) <= len(copies) // 10
     assert 4 in ids and 5 not in ids and sum(r["doc_id"] == 4 for r in kept) == 1
-    ex = simhash.near_duplicates(cases.frame(spark, rows), 6, 5, 2, simhash.bits_apart(0.8, 128)).collect()
-    prints = [tuple(simhash.fingerprints_of(r[1], 5, 2)) for r in rows]
-    assert {(str(r["doc_id"]), r["fingerprint"]) for r in ex} == {(str(r[0]), f"{p[0]:016x}{p[1]:016x}") for r, p in zip(rows, prints)}
 
 
 def test_components_of_chains_and_stars(spark):
@@ -148,9 +153,34 @@ def test_alignment_equals_the_plain_one():
     for _ in range(150):
         item = np.array([rng.randint(0, 6) for _ in range(rng.randint(1, 15))])
         passage = np.array([rng.randint(-1, 6) for _ in range(rng.randint(1, 25))])
-        score, a, b = decontam.align(item, passage)
-        assert score == slow_align(item.tolist(), passage.tolist()) and 0 <= a <= b <= len(passage)
-        assert slow_align(item.tolist(), passage[a:b].tolist()) == score
+        least = rng.randint(1, 8)
+        best, _ = decontam.best_ends(item, passage)
+        assert best.max() == slow_align(item.tolist(), passage.tolist())
+        found = decontam.align_all(item, passage, least)
+        assert (best.max() >= least) == bool(found) and (not found or max(x[0] for x in found) == best.max())
+        edges = [0, *[x for _, a, b in found for x in (a, b)], len(passage)]
+        assert edges == sorted(edges)
+        for score, a, b in found:
+            assert slow_align(item.tolist(), passage[a:b].tolist()) == score >= least
+        for a, b in zip(edges[::2], edges[1::2]):  # nothing is left between them
+            assert slow_align(item.tolist(), passage[a:b].tolist()) < least
+
+
+def test_every_passage_of_every_item():
+    word = lambda k: f"w{k}"
+    item = " ".join(map(word, range(20)))
+    long = " ".join(f"v{k}" for k in range(100_000))
+    index = decontam.Index([(1, item), (2, "four words are enough"), (3, "one"), (4, long)], {}, 0)
+
+    def found(text):
+        ids = np.array([index.vocabulary.get(w, -1) for w in decontam.words(text)])
+        return sorted((index.items[k][0], a, b) for k, _, a, b in index.passages(ids, index.find(ids)))
+
+    assert found(" ".join([item] * 3)) == [(1, 0, 20), (1, 20, 40), (1, 40, 60)]
+    assert found(f"x {item} x x {item}") == [(1, 1, 21), (1, 23, 43)]
+    assert found("x four words are enough one, four words enough") == [(2, 1, 5), (3, 5, 6)]
+    assert found("x " * 50 + " ".join(f"v{k}" for k in range(500, 540)) + " x") == [(4, 50, 90)]  # a part of a long item
+    assert found("") == []
 
 
 BENCHMARK = "item_id long, text string"
