@@ -14,9 +14,18 @@ from quillstream.llm import decontam, packing, pii, quality, simhash
 from quillstream.llm.common import table, written
 
 
+#: What an operator gets of the documents, and what tells rows apart.
+OWN = ("doc_id", "text")
+
+
+def _apart(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and _row with all columns, which no operator's own columns can then replace."""
+    return docs.select(*OWN, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality.assess(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    return quality.assess(_apart(docs), table(spark, sf_dir, "labels")).where("kept").select("_row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +40,11 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind; n_chars is that of the new text."""
-    masked = pii.annotate(docs, mask=True)
+    masked = pii.annotate(_apart(docs), mask=True)
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        masked = masked.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return masked.select(*docs.columns)
+        new["n_chars"] = F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)
+    return masked.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +63,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: No stage but the first could be put in SQL; the whole is tested against brute force in tests/llm.
+#: No stage but the first could be put in SQL; tests/llm holds each stage against brute force or planted cases, and run() against its stages.
 ORACLE_SQL = None
 
 
