@@ -22,6 +22,8 @@ SPEAKER_BLACKLIST = (
     "tiredly", "briskly", "curtly", "abruptly", "suddenly", "finally", "immediately", "eventually", "meanwhile", "instead", "however",
     "therefore", "moreover", "furthermore", "nevertheless", "wonderfully", "terribly", "horribly", "awfully", "incredibly",
 )
+# Who speaks: VERBS stands for the speech verbs, any of them; a verb before the name, or after it.
+SAID_PATTERNS = (r"(?:VERBS)\s+([A-Z][a-z]+)(?:\s|[,.!?]|$)", r"([A-Z][a-z]+)\s+(?:VERBS)")
 NAME_PATTERN = r"^[A-Z][a-z]{1,14}$"
 CHAPTER_PATTERNS = (
     r"^(?:Chapter|CHAPTER)\s+(\d+|[IVXLCDM]+|[A-Za-z]+)(?:\s*[:\-\.]\s*(.*))?$",

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstream.functions.profile import Profile, get
+from quillstream.functions.profile import ENGLISH, Profile
 from quillstream.functions.text import UNICODE, let, strip
 from quillstream.functions.values import HEADING_LINES
 
@@ -44,12 +44,12 @@ def heading_counts(text: Column, profile: Profile) -> Column:
         return F.size(F.filter(lines, lambda x: x.rlike(_java(pattern))))
 
     lines = F.filter(F.transform(F.slice(F.split(text, "\n"), 1, HEADING_LINES), strip), lambda x: x != "")
-    return let(lines, lambda ls: F.array(*[one(ls, p) for p in profile.chapter_patterns]))
+    return let(lines, lambda ls: F.array(*[one(ls, p) for p in profile.headings]))
 
 
 def heading_pattern(text: Column, profile: Profile | None = None) -> Column:
     """The number of the pattern that most lines match, the first of equals; null where none matches twice."""
-    return let(heading_counts(text, profile or get()), lambda c: F.when(F.array_max(c) > 1, F.array_position(c, F.array_max(c)).cast("int") - 1))
+    return let(heading_counts(text, profile or ENGLISH), lambda c: F.when(F.array_max(c) > 1, F.array_position(c, F.array_max(c)).cast("int") - 1))
 
 
 def _title(line: Column, pattern: str) -> Column:
@@ -68,8 +68,8 @@ def split_chapters(books: DataFrame, delimiter: str | None = None, profile: Prof
     ``Untitled``; chapters without text are left out and the rest renumbered; a book without headings is one chapter as it is.
     A book's lines stay in its row; only its chapters' numbers need an exchange.
     """
-    profile = profile or get()
-    patterns = (delimiter,) if delimiter else profile.chapter_patterns
+    profile = profile or ENGLISH
+    patterns = (delimiter,) if delimiter else profile.headings
     chosen = books.withColumn("_p", F.lit(0) if delimiter else heading_pattern(F.col("text"), profile))
     whole = chosen.where(F.col("_p").isNull()).select("book_id", F.lit(0).cast("long").alias("chapter_index"), F.lit("Chapter 1").alias("title"), F.col("text").alias("raw_text"))
 
@@ -97,7 +97,7 @@ def split_chapters(books: DataFrame, delimiter: str | None = None, profile: Prof
 
 def is_scene_break(line: Column, profile: Profile | None = None) -> Column:
     hit = F.lit(False)
-    for p in (profile or get()).scene_break_patterns:
+    for p in (profile or ENGLISH).breaks:
         hit = hit | strip(line).rlike(_java(p))
     return hit
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstream.functions.profile import Profile, get
+from quillstream.functions.profile import ENGLISH, Profile, mood_verbs, said_patterns
 from quillstream.functions.text import SPACE, UNICODE_ANY_CASE, is_blank, let, speaker_key, strip
 from quillstream.functions.values import CONTEXT_CHARS, NARRATOR, UNKNOWN
 
@@ -44,8 +44,9 @@ def _pair_spans(text: Column, pair: tuple[str, str]) -> Column:
 def quoted_spans(text: Column, profile: Profile | None = None, single: bool = False) -> Column:
     """Spans of all pairs of marks by start; one that starts within a span of an earlier pair is left out."""
     spans = F.array().cast(SPANS)
-    for pair in (profile or get()).quote_pairs(single):
-        spans = _merged(spans, _pair_spans(text, pair))
+    for opening, closing, only_single in (profile or ENGLISH).quotes:
+        if single or not only_single:
+            spans = _merged(spans, _pair_spans(text, (opening, closing)))
     return F.array_sort(spans)
 
 
@@ -81,9 +82,9 @@ def strings(values) -> Column:
 
 def is_valid_speaker(name: Column, cast_keys: Column, profile: Profile | None = None) -> Column:
     """A cast name, or one that is not on the blacklist and looks like a name."""
-    profile = profile or get()
+    profile = profile or ENGLISH
     key = speaker_key(name)
-    looks = ~F.array_contains(strings(profile.blacklist), key) & name.rlike(profile.name_pattern)
+    looks = ~F.array_contains(strings(profile.not_names), key) & name.rlike(profile.name_pattern)
     return F.coalesce((name != "") & (F.array_contains(cast_keys, key) | looks), F.lit(False))
 
 
@@ -95,16 +96,16 @@ def said_context(text: Column, s: Column, e: Column) -> Column:
 
 def attribution(context: Column, cast_keys: Column, profile: Profile | None = None) -> Column:
     """struct(speaker, emotion) from a span's context: the first pattern whose first match is a valid name; nulls without one."""
-    profile = profile or get()
+    profile = profile or ENGLISH
     name = F.lit(None).cast("string")
-    for pattern in reversed(profile.said_patterns()):
+    for pattern in reversed(said_patterns(profile)):
         found = F.regexp_extract(context, UNICODE_ANY_CASE + pattern, 1)
         name = F.when(is_valid_speaker(found, cast_keys, profile), found).otherwise(name)
-    hints = profile.hint_verbs()
+    hints = mood_verbs(profile)
     emotion = F.lit(None).cast("string")
     if hints:
         verb = F.lower(F.regexp_extract(context, UNICODE_ANY_CASE + rf"\b({'|'.join(map(re.escape, hints))})\b", 1))
-        emotion = F.element_at(F.create_map(*[F.lit(x) for v in hints for x in (v, profile.emotion_hints[v])]), F.when(verb != "", verb))
+        emotion = F.element_at(F.create_map(*[F.lit(x) for v in hints for x in (v, hints[v])]), F.when(verb != "", verb))
     return let(name, lambda n: F.struct(n.alias("speaker"), F.when(n.isNotNull(), emotion).alias("emotion")))
 
 
@@ -114,7 +115,7 @@ def compile_utterances(chapters: DataFrame, cast_keys: DataFrame | None = None,
     cast_keys (book_id, speaker_key) names who is cast; one row per book joins its keys as an array.  All steps but
     that join are narrow: a chapter's paragraphs, segments and line numbers stay in its row until they are exploded.
     """
-    profile = profile or get()
+    profile = profile or ENGLISH
     if cast_keys is None:
         keyed = chapters.withColumn("_cast", F.array().cast("array<string>"))
     else:

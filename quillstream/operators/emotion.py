@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.functions import values
-from quillstream.functions.profile import Profile, get
+from quillstream.functions.profile import ENGLISH, Profile, mood_verbs
 from quillstream.functions.text import UNICODE_ANY_CASE, let, strip, words
 
 MODES = ("off", "rule", "auto")
@@ -22,12 +22,12 @@ def _result(label, confidence, source: str) -> Column:
 
 def from_verb(text: Column, profile: Profile | None = None) -> Column:
     """The hint of the first verb that has one; null without."""
-    profile = profile or get()
-    hints = profile.hint_verbs()
+    profile = profile or ENGLISH
+    hints = mood_verbs(profile)
     if not hints:
         return F.lit(None).cast(RESULT)
     verb = F.lower(F.regexp_extract(text, UNICODE_ANY_CASE + rf"\b({'|'.join(map(re.escape, hints))})\b", 1))
-    label = F.element_at(F.create_map(*[F.lit(x) for v in hints for x in (v, profile.emotion_hints[v])]), F.when(verb != "", verb))
+    label = F.element_at(F.create_map(*[F.lit(x) for v in hints for x in (v, hints[v])]), F.when(verb != "", verb))
     return let(label, lambda x: F.when(x.isNotNull(), _result(x, values.VERB_CONFIDENCE, "verb")))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillstream.functions import values as X
+from quillstream.operators.review import NOT_FOUND
 from quillstream.plans import views
 
 
@@ -237,6 +238,15 @@ walk AS (SELECT CAST(0 AS BIGINT) AS k, {taken} AS used, '' AS speaker, '' AS vo
     SELECT p.k, w.used, p.speaker, v.voice_id, {raw} AS raw, {reason} AS reason, row_number() OVER (ORDER BY {raw} DESC, v.voice_id) AS place FROM walk w JOIN p ON p.k = w.k + 1 CROSS JOIN info v) WHERE place = 1)"""
 
 
+def _page_text(html: str) -> str:
+    """texts(page_id, url, html, text) of pages without nested skipped elements and with four kinds of references."""
+    tag = "(?is)</?(" + "|".join(X.BLOCK_TAGS) + r")(\s[^>]*)?/?>"
+    return rf"""shown AS (SELECT page_id, url, html, regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<![^>]*>', '<x>', 'g'), '(?is)<(head|nav|footer)>.*?</(head|nav|footer)>', '<p>', 'g') AS s FROM pages),
+flat AS (SELECT page_id, url, html, regexp_replace(regexp_replace(s, '{tag}', chr(2), 'g'), '(?is)</?[a-z][^>]*>', ' ', 'g') AS t FROM shown),
+plain AS (SELECT page_id, url, html, replace(replace(replace(replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t FROM flat),
+texts AS (SELECT page_id, url, html, array_to_string(list_filter(list_transform(string_split(t, chr(2)), lambda p: trim(regexp_replace(p, '\s+', ' ', 'g'))), lambda p: p <> ''), ' ' || chr(10) || chr(10)) AS text FROM plain)"""
+
+
 def oracle_sql() -> dict[str, str]:
     raw_minutes = "n_words / 150.0"
     words = r"CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT)"
@@ -302,7 +312,9 @@ SELECT book_id, speaker, female, male, CASE WHEN female > male + 1 THEN 'female'
 SELECT book_id, total_chapters, n_rendered, n_cached, n_failed, round((n_rendered + n_cached) / total_chapters * 100.0, 6) AS percent, CASE WHEN n_rendered > 0 THEN round(seconds / n_rendered, 6) ELSE CAST(0 AS DOUBLE) END AS avg_seconds,
   CASE WHEN n_rendered > 0 AND spoken IS NOT NULL AND seconds <> 0 THEN round(spoken / (seconds / 60.0), 6) ELSE CAST(150 AS DOUBLE) END AS wpm,
   CASE WHEN total_chapters - n_rendered - n_cached - n_failed <= 0 THEN CAST(0 AS DOUBLE) WHEN n_rendered > 0 THEN round((total_chapters - n_rendered - n_cached - n_failed) * (seconds / n_rendered), 6) END AS eta_seconds,
-  CAST(CAST(round_even((n_rendered + n_cached) / total_chapters * 100.0, 0) AS BIGINT) AS VARCHAR) || '% complete (' AS summary_head FROM counted""",
+  CAST(CAST(round_even((n_rendered + n_cached) / total_chapters * 100.0, 0) AS BIGINT) AS VARCHAR) || '% complete (' || CAST(n_rendered AS VARCHAR) || ' rendered ' || CAST(n_cached AS VARCHAR) || ' cached ' || CASE WHEN n_failed > 0 THEN CAST(n_failed AS VARCHAR) || ' failed ' ELSE '' END || 'of ' || CAST(total_chapters AS VARCHAR) || ' total)' || CASE WHEN eta <> 'done' THEN ' | ' || eta ELSE '' END AS summary, eta
+FROM (SELECT *, CASE WHEN total_chapters - n_rendered - n_cached - n_failed <= 0 THEN 'done' WHEN n_rendered = 0 THEN 'estimating...' WHEN left_s <= 0 THEN 'done' WHEN left_s >= 60 THEN '~' || CAST(CAST(floor(left_s / 60) AS BIGINT) AS VARCHAR) || 'm ' || CAST(CAST(floor(left_s % 60) AS BIGINT) AS VARCHAR) || 's remaining' ELSE '~' || CAST(CAST(floor(left_s) AS BIGINT) AS VARCHAR) || 's remaining' END AS eta
+  FROM (SELECT *, (total_chapters - n_rendered - n_cached - n_failed) * (seconds / n_rendered) AS left_s FROM counted))""",
         "review_blocks": f"WITH {BLOCKS} SELECT * FROM block_texts",
         "review_export": f"WITH {BLOCKS}, {TITLES} SELECT t.chapter_index, '=== ' || t.title || ' ===' || chr(10) || chr(10) || b.body AS body FROM titles t LEFT JOIN (SELECT chapter_index, string_agg(text, chr(10) || chr(10) ORDER BY block) AS body FROM block_texts GROUP BY chapter_index) b ON t.chapter_index = b.chapter_index",
         "review_import": f"WITH {REVIEW} SELECT * FROM imported",
@@ -328,6 +340,19 @@ everyone AS (SELECT speaker_key, name, voice, emotion, -1 AS seq FROM casting UN
         "params_hash": """SELECT r_name AS book_id, sha256('{"dialogue_pause_ms":' || CAST(400 + r_regionkey AS VARCHAR) || ',"narrator_pause_ms":' || CAST(600 + r_regionkey AS VARCHAR) || ',"sample_rate":' || CAST(24000 + r_regionkey AS VARCHAR) || '}') AS render_params_hash FROM region""",
         "project_json_roundtrip": f"WITH {TALK} SELECT chapter_index, line_index, speaker, text, type, emotion FROM talk",
         "nlp_tsv": f"""WITH {TALK} SELECT CAST(chapter_index AS VARCHAR) AS book_id, line_index AS quote_no, replace(text, chr(10), ' ') AS quote_text, speaker, CASE WHEN line_index % 2 = 0 THEN CAST(12 AS BIGINT) ELSE CAST(3 AS BIGINT) END AS start, CASE WHEN line_index % 2 = 0 THEN CAST(0 AS BIGINT) ELSE CAST(44 AS BIGINT) END AS "end", CASE WHEN line_index % 2 = 0 THEN CAST(0.5 AS DOUBLE) ELSE CAST(0.75 AS DOUBLE) END AS confidence FROM talk WHERE line_index > 0 AND line_index % 5 <> 4""",
+        "html_to_text": rf"WITH {_page_text('html')} SELECT page_id, text, CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT) AS n_words FROM texts",
+        "html_to_text_compat": rf"WITH {_page_text('html')} SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '' ELSE text END AS text FROM texts",
+        "page_sections": rf"""WITH {_page_text('html')}, heads AS (SELECT page_id, url, text, substr(html, 1, {X.TITLE_CHARS}) AS h, CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT) AS n_words FROM texts),
+found AS (SELECT *, regexp_replace({_strip("regexp_extract(h, '(?i)<h[1-3][^>]*>([^<]+)</h[1-3]>', 1)")}, '\s+', ' ', 'g') AS a, regexp_replace({_strip("regexp_extract(h, '(?i)<title>([^<]+)</title>', 1)")}, '\s+', ' ', 'g') AS b FROM heads),
+kept AS (SELECT *, row_number() OVER (PARTITION BY page_id % 10 ORDER BY page_id) AS r FROM found WHERE n_words >= 200)
+SELECT CAST(page_id % 10 AS VARCHAR) AS book_id, r - 1 AS chapter_index, CASE WHEN a <> '' AND length(a) < {X.TITLE_LIMIT} THEN a WHEN b <> '' AND length(b) < {X.TITLE_LIMIT} THEN b ELSE 'Chapter ' || CAST(r AS VARCHAR) END AS title, url AS source_file, n_words FROM kept""",
+        "narrator_cast": "SELECT DISTINCT source AS book_id, 'narrator' AS speaker_key, 'narrator' AS name, 'af_heart' AS voice, 'calm' AS emotion FROM documents",
+        "review_preview": f"""WITH {BLOCKS}, {TITLES} SELECT '{views.TALK}' AS book_id, '=== ' || t.title || ' ===' || chr(10) || chr(10) || b.body AS body FROM titles t JOIN (SELECT chapter_index, string_agg(text, chr(10) || chr(10) ORDER BY block) AS body FROM block_texts GROUP BY chapter_index) b ON t.chapter_index = b.chapter_index WHERE t.chapter_index = 3
+UNION ALL SELECT '{views.TALK}', {_text(NOT_FOUND)}""",
+        "manifest_roundtrip": f"WITH {HASHED} SELECT book_id, 'Book' AS book_title, chapter_index, text_hash, 'c' || CAST(chapter_index AS VARCHAR) || '.wav' AS wav_path, chapter_index / 4.0::DOUBLE AS duration_s, 'ok' AS status FROM hashed",
+        "failure_report": f"""WITH {TALK}, {TITLES} SELECT 'Talk' AS book_title, (SELECT count(*) FROM titles) AS total_chapters, (SELECT count(*) FROM titles WHERE chapter_index % 5 > 1) AS rendered_ok, (SELECT count(*) FROM titles WHERE chapter_index % 5 = 1) AS cached_ok, (SELECT count(*) FROM titles WHERE chapter_index % 5 = 0) AS failed_count,
+  t.chapter_index, t.title AS chapter_title, 'no voice' AS error_message, coalesce(u.speaker, '') AS speaker, coalesce(substr(u.text, 1, 200), '') AS text_preview, coalesce(u.emotion, '') AS emotion FROM titles t LEFT JOIN talk u ON u.chapter_index = t.chapter_index AND u.line_index = 1 WHERE t.chapter_index % 5 = 0""",
+        "project_settings": """SELECT source AS book_id, upper(source) AS title, '/in/' || source AS source_path, 'bm_george' AS fallback_voice_id, 'narrator' AS default_narrator, count(*) * 1000 AS sample_rate, count(*) % 300 AS estimated_wpm, CAST(5 AS BIGINT) AS chapter_pause_ms, CAST(600 AS BIGINT) AS narrator_pause_ms, 'fr' AS language_code, CAST(7 AS BIGINT) AS line_count, count(*) AS n_audio, round(sum(n_chars / 15.0), 4) AS seconds FROM documents GROUP BY source""",
         "safe_title": r"SELECT doc_id, regexp_replace(string_split(text, chr(10))[1], '[^\p{L}\p{N} \-_]', '_', 'g') AS safe_title FROM documents",
     }
     return out

@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.functions import profile as profiles
+from quillstream.functions.profile import language as profile_of
 from quillstream.functions.values import CONFIG_DEFAULTS
 from quillstream.operators import casting as C
 from quillstream.operators import dialogue as D
@@ -44,8 +44,8 @@ class Project:
     @classmethod
     def from_books(cls, books: DataFrame, delimiter: str | None = None, **config) -> Project:
         """From books with their text, as the sources give them."""
-        profiles.get(config.get("language_code", "en"))
-        return cls(books.select("book_id", "title", "author"), B.chapters_of(books, delimiter), C.narrator_cast(books), None, config)
+        profile_of(config.get("language_code", "en"))
+        return cls(books.select("book_id", "title", "author", F.col("book_id").alias("source_path")), B.chapters_of(books, delimiter), C.narrator_cast(books), None, config)
 
     @classmethod
     def from_text(cls, spark: SparkSession, path: str, **config) -> Project:
@@ -69,12 +69,16 @@ class Project:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Project:
+        """Project files, all their fields kept; steps have one set of settings, so files with others than the first are an error."""
         p = B.read_projects(spark, path)
-        return cls(p.select("book_id", "title", "author"), B.project_chapters(p), B.project_casting(p), B.project_utterances(p), p.select("config.*").first().asDict())
+        found = [r["config"].asDict() for r in p.select("config").distinct().limit(2).collect()]
+        if len(found) > 1:
+            raise ValueError("projects with different settings are loaded one by one")
+        return cls(B.project_books(p), B.project_chapters(p), B.project_casting(p), B.project_utterances(p), found[0] if found else None)
 
     def save(self, path: str) -> None:
         """One JSON document per book."""
-        B.write_json(B.project_json(self.books, self.chapters, self._spoken(), self.casting), path)
+        B.write_json(B.project_json(self.books, self.chapters, self._spoken(), self.casting, self.config), path)
 
     def cast(self, name: str, voice: str, emotion: str | None = None, description: str | None = None) -> Project:
         """Casts a character in every book."""
@@ -84,7 +88,7 @@ class Project:
     def compile(self, quotes: DataFrame | None = None) -> Project:
         """Dialogue and attribution, then other attributions if there are any, then emotions."""
         p = self.settings
-        language = profiles.get(p["language_code"])
+        language = profile_of(p["language_code"])
         found = D.compile_utterances(self.chapters, self.casting.select("book_id", "speaker_key"), language)
         found = N.resolve(found, quotes, p["booknlp_mode"]).drop("resolved")
         if p["emotion_mode"] != "off":

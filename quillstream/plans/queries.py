@@ -139,6 +139,13 @@ def html_to_text(spark, sf):
     return p.select("page_id", "text", word_count(F.col("text")).alias("n_words"))
 
 
+@query
+def html_to_text_compat(spark, sf):
+    """Tags without an end tag count as open: what follows them is skipped."""
+    p = L.with_html_text(views.table(spark, sf, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise(F.replace("html", F.lit('<meta charset="utf-8">'), F.lit('<meta charset="utf-8"/>'))).alias("html")), compat=True)
+    return p.select("page_id", "text")
+
+
 @query
 def html_title(spark, sf):
     return views.table(spark, sf, "pages").select("page_id", L.html_title(F.col("html")).alias("title"))
@@ -317,7 +324,7 @@ def progress_state(spark, sf):
 def progress_stats(spark, sf):
     states = R.latest_state(views.render_events(spark, sf))
     totals = states.groupBy("book_id").agg((F.count("*") + 20).alias("total_chapters"))
-    return R.progress_text(R.progress(states, totals)).select("book_id", "total_chapters", "n_rendered", "n_cached", "n_failed", F.round("percent", 6).alias("percent"), F.round("avg_seconds", 6).alias("avg_seconds"), F.round("wpm", 6).alias("wpm"), F.round("eta_seconds", 6).alias("eta_seconds"), F.regexp_extract("summary", r"^\d+% complete \(", 0).alias("summary_head"))
+    return R.progress_text(R.progress(states, totals)).select("book_id", "total_chapters", "n_rendered", "n_cached", "n_failed", F.round("percent", 6).alias("percent"), F.round("avg_seconds", 6).alias("avg_seconds"), F.round("wpm", 6).alias("wpm"), F.round("eta_seconds", 6).alias("eta_seconds"), "eta", "summary")
 
 
 @query
@@ -457,3 +464,47 @@ def nlp_tsv(spark, sf):
 def safe_title(spark, sf):
     t = views.table(spark, sf, "documents").select("doc_id", F.split("text", "\n")[0].alias("title"))
     return t.select("doc_id", R.safe_title(F.col("title")).alias("safe_title"))
+
+
+@query
+def narrator_cast(spark, sf):
+    books = views.table(spark, sf, "documents").select(F.col("source").alias("book_id"))
+    return C.narrator_cast(books).select("book_id", "speaker_key", "name", "voice", "emotion")
+
+
+@query
+def review_preview(spark, sf):
+    c = views.talk_chapters(spark, sf)
+    return V.preview(c, views.utterances(spark, sf), 3).unionByName(V.preview(c, views.utterances(spark, sf), -1))
+
+
+@query
+def manifest_roundtrip(spark, sf):
+    """A render manifest per source, written as JSON and read back."""
+    entries = _hashed(spark, sf).select("book_id", F.col("chapter_index").cast("int").alias("chapter_index"), "text_hash", "casting_hash", "render_params_hash", F.concat(F.lit("c"), F.col("chapter_index").cast("string"), F.lit(".wav")).alias("wav_path"), (F.col("chapter_index") / 4.0).alias("duration_s"), F.lit("ok").alias("status"), F.lit("").alias("error_summary"), F.lit("2020-01-01T00:00:00").alias("created_at"))
+    back = B.manifest_json(entries, "Book").select("book_id", F.from_json("json", B.MANIFEST).alias("m")).select("book_id", "m.book_title", F.explode("m.chapters").alias("c"))
+    return back.select("book_id", "book_title", F.col("c.chapter_index").cast("long").alias("chapter_index"), "c.text_hash", "c.wav_path", "c.duration_s", "c.status")
+
+
+@query
+def failure_report(spark, sf):
+    """The report of failed conversations, read back."""
+    report = B.failure_report(_outcomes(spark, sf), views.utterances(spark, sf), "Talk", "now").select(F.from_json("json", B.FAILURES).alias("r")).select("r.*")
+    failed = report.select("book_title", "total_chapters", "rendered_ok", "cached_ok", "failed_count", F.explode("failed_chapters").alias("c"))
+    longs = [F.col(c).cast("long").alias(c) for c in ("total_chapters", "rendered_ok", "cached_ok", "failed_count")]
+    return failed.select("book_title", *longs, F.col("c.chapter_index").cast("long").alias("chapter_index"), "c.chapter_title", "c.error_message", "c.failed_utterance.speaker", "c.failed_utterance.text_preview", "c.failed_utterance.emotion")
+
+
+@query
+def project_settings(spark, sf):
+    """A project per source with settings and fields of its own, written as JSON and read back."""
+    d = views.chapters(spark, sf)
+    config = F.struct((F.col("n") * 1000).cast("int").alias("sample_rate"), (F.col("n") % 300).cast("int").alias("estimated_wpm"), F.lit("fr").alias("language_code"))
+    books = d.groupBy("book_id").agg(F.count("*").alias("n")).select("book_id", F.upper("book_id").alias("title"), F.lit("Ann").alias("author"), F.concat(F.lit("/in/"), "book_id").alias("source_path"), F.lit("bm_george").alias("fallback_voice_id"), config.alias("config"))
+    none = d.limit(0).select("book_id", "chapter_index", F.lit(0).cast("long").alias("line_index"), *[F.lit("").alias(c) for c in ("speaker", "text", "type", "emotion")])
+    cast = books.select("book_id", F.lit("ann").alias("speaker_key"), F.lit("Ann").alias("name"), F.lit("af_sky").alias("voice"), F.lit("calm").alias("emotion"), F.lit(None).cast("string").alias("description"), F.lit(7).alias("line_count"))
+    docs = B.project_json(books, d, none, cast, {"chapter_pause_ms": 5})
+    back = docs.select("book_id", F.from_json("json", B.PROJECT).alias("p")).select("book_id", "p.*")
+    found = B.project_books(back).join(B.project_casting(back).select("book_id", "line_count"), "book_id").join(B.project_chapters(back).groupBy("book_id").agg(F.count("audio_path").alias("n_audio"), F.round(F.sum("duration_seconds"), 4).alias("seconds")), "book_id")
+    longs = [F.col(f"config.{c}").cast("long").alias(c) for c in ("sample_rate", "estimated_wpm", "chapter_pause_ms", "narrator_pause_ms")]
+    return found.select("book_id", "title", "source_path", "fallback_voice_id", "default_narrator", *longs, "config.language_code", "line_count", "n_audio", "seconds")

@@ -134,31 +134,62 @@ def project_utterances(projects: DataFrame) -> DataFrame:
 
 def project_casting(projects: DataFrame) -> DataFrame:
     c = projects.select("book_id", F.explode("casting.characters").alias("speaker_key", "c"))
-    return c.select("book_id", "speaker_key", "c.name", "c.voice", "c.emotion", "c.description")
+    return c.select("book_id", "speaker_key", "c.name", "c.voice", "c.emotion", "c.description", F.col("c.line_count").cast("long").alias("line_count"))
 
 
-def project_json(books: DataFrame, chapters: DataFrame, utterances: DataFrame, casting: DataFrame) -> DataFrame:
-    """book_id and json, one project document per book (book_id, title, author); nulls stay, other letters are not escaped."""
-    null = F.lit(None).cast("string")
+#: What a book of a project has beside its title and author, and what it has if nothing is known.
+PROJECT_FIELDS = {"source_path": None, "created_at": None, "modified_at": None, "output_path": None}
+CAST_FIELDS = {"default_narrator": values.NARRATOR, "unknown_character_behavior": values.NARRATOR, "fallback_voice_id": values.FALLBACK_VOICE}
+
+
+def project_books(projects: DataFrame) -> DataFrame:
+    """book_id, title, author, the fields of project and casting, and config of project files."""
+    cast = [F.coalesce(F.col(f"casting.{k}"), F.lit(v)).alias(k) for k, v in CAST_FIELDS.items()]
+    return projects.select("book_id", "title", "author", *PROJECT_FIELDS, *cast, "config")
+
+
+def _known(rows: DataFrame, name: str, otherwise, kind: str):
+    """A column where the table has it, else a value, which also stands for null unless it is null itself."""
+    if name not in rows.columns:
+        return F.lit(otherwise).cast(kind).alias(name)
+    return (F.col(name) if otherwise is None else F.coalesce(F.col(name), F.lit(otherwise))).cast(kind).alias(name)
+
+
+def project_json(books: DataFrame, chapters: DataFrame, utterances: DataFrame, casting: DataFrame, config: dict | None = None) -> DataFrame:
+    """book_id and json, one project document per book (book_id, title, author); nulls stay, other letters are not escaped.
+
+    What books has of project_books(), chapters of source_file, audio_path and duration_seconds, and casting of line_count is
+    written; settings are those of config, then those of the book, then the defaults.
+    """
     spoken = utterances.groupBy("book_id", "chapter_index").agg(F.array_sort(F.collect_list(F.struct("line_index", F.struct("speaker", "text", "type", "emotion", "chapter_index", F.col("line_index").alias("line_index")).alias("u")))).alias("_u"))
-    row = F.struct(F.col("chapter_index").alias("index"), "title", "raw_text", F.coalesce(F.transform("_u", lambda x: x["u"]), F.array().cast("array<struct<speaker:string,text:string,type:string,emotion:string,chapter_index:bigint,line_index:bigint>>")).alias("utterances"), null.alias("source_file"), null.alias("audio_path"), F.lit(0.0).alias("duration_seconds"))
+    row = F.struct(F.col("chapter_index").alias("index"), "title", "raw_text", F.coalesce(F.transform("_u", lambda x: x["u"]), F.array().cast("array<struct<speaker:string,text:string,type:string,emotion:string,chapter_index:bigint,line_index:bigint>>")).alias("utterances"),
+                   _known(chapters, "source_file", None, "string"), _known(chapters, "audio_path", None, "string"), _known(chapters, "duration_seconds", 0.0, "double"))
     parts = chapters.join(spoken, ["book_id", "chapter_index"], "left").groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("chapter_index", row.alias("c")))).alias("_c"))
-    people = casting.groupBy("book_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("speaker_key", F.struct("name", "voice", "emotion", "description", F.lit(0).alias("line_count")).alias("v"))))).alias("_p"))
-    table = F.struct(F.coalesce("_p", F.create_map().cast("map<string,struct<name:string,voice:string,emotion:string,description:string,line_count:int>>")).alias("characters"), F.lit(values.NARRATOR).alias("default_narrator"), F.lit(values.NARRATOR).alias("unknown_character_behavior"), F.lit(values.FALLBACK_VOICE).alias("fallback_voice_id"))
-    config = F.struct(*[F.lit(v).alias(k) for k, v in values.CONFIG_DEFAULTS.items()])
-    document = F.struct(F.lit(values.SCHEMA_VERSION).alias("schema_version"), "title", "author", null.alias("source_path"), null.alias("created_at"), null.alias("modified_at"), null.alias("output_path"), F.transform("_c", lambda x: x["c"]).alias("chapters"), table.alias("casting"), config.alias("config"))
+    person = F.struct("name", "voice", "emotion", "description", _known(casting, "line_count", 0, "int")).alias("v")
+    people = casting.groupBy("book_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("speaker_key", person)))).alias("_p"))
+    table = F.struct(F.coalesce("_p", F.create_map().cast("map<string,struct<name:string,voice:string,emotion:string,description:string,line_count:int>>")).alias("characters"), *[_known(books, k, v, "string") for k, v in CAST_FIELDS.items()])
+
+    def setting(name: str, default):
+        if name in (config or {}):
+            return F.lit(config[name]).alias(name)
+        own = [F.col(f"config.{name}")] if "config" in books.columns and name in books.schema["config"].dataType.names else []
+        return F.coalesce(*own, F.lit(default)).alias(name)
+
+    settings = F.struct(*[setting(k, v) for k, v in values.CONFIG_DEFAULTS.items()])
+    document = F.struct(F.lit(values.SCHEMA_VERSION).alias("schema_version"), "title", "author", *[_known(books, k, v, "string") for k, v in PROJECT_FIELDS.items()], F.transform("_c", lambda x: x["c"]).alias("chapters"), table.alias("casting"), settings.alias("config"))
     return books.join(parts, "book_id", "left").join(people, "book_id", "left").select("book_id", F.to_json(document, {"ignoreNullFields": "false"}).alias("json"))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame | None:
     """Entries of a render manifest; None if it is missing, can't be read or is of a newer version."""
     try:
-        row = spark.read.schema(MANIFEST + ", _corrupt_record string").json(path, multiLine=True).cache().first()
+        rows = spark.read.schema(MANIFEST + ", _corrupt_record string").json(path, multiLine=True).select("book_title", "chapters", "_corrupt_record", F.coalesce("version", F.lit(1)).alias("version"))
     except Exception as e:  # a missing path is a manifest that isn't there
         if "PATH_NOT_FOUND" in str(e):
             return None
         raise
-    if row is None or row["_corrupt_record"] or (row["version"] or 1) > values.MANIFEST_VERSION:
+    state = rows.agg(F.count("*").alias("n"), F.count_if(F.col("_corrupt_record").isNotNull() | (F.col("version") > values.MANIFEST_VERSION)).alias("bad")).first()
+    if not state["n"] or state["bad"]:
         return None
     return spark.read.schema(MANIFEST).json(path, multiLine=True).select("book_title", F.explode("chapters").alias("c")).select("book_title", "c.*")
 

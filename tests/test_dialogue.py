@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillstream.functions import profile
@@ -143,12 +144,9 @@ def test_script(spark):
 
 
 def test_profiles():
-    assert profile.available() == ["en"] and len(profile.get("en").verbs) == 38 and len(profile.get().blacklist) == 93
-    profile.register(profile.Profile("xx", "Other", verbs=("ba",)))
-    assert profile.get("xx").said_patterns() and not profile.get("xx").hint_verbs()
-    try:
-        profile.get("zz")
-        raise AssertionError
-    except ValueError as e:
-        assert "zz" in str(e)
-    profile._profiles.pop("xx")
+    english = profile.language("en")
+    assert list(profile.PROFILES) == ["en"] and len(english.speech) == 38 and len(english.not_names) == 93 and len(profile.mood_verbs(english)) == 16
+    other = profile.Profile(speech=(("ba", None),))
+    assert "ba" in profile.said_patterns(other)[0] and not profile.mood_verbs(other) and not profile.said_patterns(profile.Profile())
+    with pytest.raises(ValueError):
+        profile.language("zz")

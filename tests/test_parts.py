@@ -193,8 +193,9 @@ def test_progress(spark):
 
 def test_html(spark):
     page = "<html><head><meta charset=utf-8><title> T  t </title></head><body><nav>n</nav><h2>Head\n ing</h2><p>a <b>b</b></p><br>c<script>x</script></body></html>"
-    assert L.html_text(page) == "Head ing \n\na b \n\nc" and L.html_text(page, compat=True) == ""
-    assert L.html_text("<meta charset='x'/><p>a</p>", compat=True) == "a" and L.html_text("") == "" and L.html_text(None) is None
+    odd = ["<meta charset='x'/><p>a</p>", "", None, "a < b &lt;p&gt; &copy 5 &#169; &#x41; &#150; &notit; &nope; & x&nbsp;y", "<nav><nav>x</nav>y</nav>z<footer>q", "a<!-- c -->b<script>if(a<nav>b)</script>c", "</nav>a<p>b", "x<nav><li>y</nav>z<link>r"]
+    assert values(spark, [page, *odd], L.html_text(F.col("text"))) == ["Head ing \n\na b \n\nc", "a", "", None, "a < b <p> © 5 © A – ¬it; &nope; & x y", "z", "a b c", "a \n\nb", "x \n\nz r"]
+    assert values(spark, [page, odd[0], odd[-1]], L.html_text(F.col("text"), compat=True)) == ["", "a", "x \n\nz"]
     assert values(spark, [page, "<title>x</title>", "<h1></h1>", "<H3 a=1> y </H3>"], L.html_title(F.col("text"))) == ["Head ing", "x", None, "y"]
 
 
@@ -230,6 +231,11 @@ def test_projects(spark, tmp_path):
     book = spark.createDataFrame([("b", "T", "A")], "book_id string, title string, author string")
     B.write_json(B.project_json(book, chapters, u, cast), str(tmp_path / "p"))
     back = B.read_projects(spark, str(tmp_path / "p"))
+    again = B.project_json(B.project_books(back).withColumn("source_path", F.lit("/a")), B.project_chapters(back).withColumn("audio_path", F.lit("x.wav")).withColumn("duration_seconds", F.lit(2.5)), B.project_utterances(back), B.project_casting(back), {"sample_rate": 48000, "estimated_wpm": 99})
+    B.write_json(again, str(tmp_path / "q"))
+    kept = B.read_projects(spark, str(tmp_path / "q"))
+    assert kept.select("source_path", "config.sample_rate", "config.estimated_wpm").first()[:] == ("/a", 48000, 99)
+    assert {(r["audio_path"], r["duration_seconds"]) for r in B.project_chapters(kept).collect()} == {("x.wav", 2.5)}
     assert back.first()["config"]["estimated_wpm"] == 150 and B.project_chapters(back).count() == 2
     assert [tuple(r)[1:] for r in B.project_utterances(back).collect()] == [(0, 0, "Ann", 'Say "é"', "dialogue", None)]
     assert [tuple(r)[1:4] for r in B.project_casting(back).collect()] == [("ann", "Ann", "af_sky")]
