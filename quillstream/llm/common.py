@@ -124,6 +124,27 @@ def once_a_process(key: tuple, make):
     return kept[key]
 
 
+def tidy(run):
+    """run, a function over Arrow batches, which at its end gives back to the system what memory it no longer uses.
+
+    Workers outlive their tasks, and an executor has several: what their allocators keep would add up.
+    """
+
+    def tidied(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library
+
+    return tidied
+
+
 def settled(df: DataFrame, *columns: Column) -> DataFrame:
     """df with columns worked out once for each row.
 

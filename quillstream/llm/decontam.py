@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import byte_slices, received, sent, written
+from quillstream.llm.common import byte_slices, received, sent, tidy, written
 
 #: Words in a seed; seeds that chance would put in more words than one in 1 / RARE are left out, but each item keeps LEAST_SEEDS.
 SEED_WORDS, RARE, LEAST_SEEDS = 3, 1e-8, 8
@@ -161,7 +161,7 @@ def corpus_counts(docs: DataFrame, vocabulary: set[str]) -> tuple[dict[str, int]
         some = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(some - 1), pa.array(found[some])], names=["word", "n"])
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     names = sorted(vocabulary)
     counts = {r["word"]: r["n"] for r in rows}  # one row per word of the block's items
     total = counts.pop(-1, 0)
@@ -220,7 +220,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         block = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()]  # about BLOCK_BYTES
         vocabulary = Counter(w for _, text in block for w in words(text))
         index = sent(docs.sparkSession, Index(block, *corpus_counts(narrow, set(vocabulary))))
-        rows = narrow.mapInArrow(lambda it, index=index: _scan(it, index), LEAKS)
+        rows = narrow.mapInArrow(tidy(lambda it, index=index: _scan(it, index)), LEAKS)
         if blocks > 1:
             rows = written(rows, "leaks")
         found = rows if found is None else found.unionByName(rows)

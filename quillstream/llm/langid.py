@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import byte_slices, in_sample, received, sent
+from quillstream.llm.common import byte_slices, in_sample, received, sent, tidy
 
 #: Bytes of training text of a language, and of all languages together, which bounds the model to about 40 bytes for each.
 TRAIN_BYTES, ALL_BYTES = 32_000, 3_200_000
@@ -235,6 +235,6 @@ def identify(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = narrow.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    found = narrow.mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")

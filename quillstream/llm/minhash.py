@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import byte_slices, join_skewed, written
+from quillstream.llm.common import byte_slices, join_skewed, tidy, written
 from quillstream.llm.components import components
 
 #: Words in a shingle, similarity that counts as a copy, keys of a text, minima in a key.
@@ -72,7 +72,7 @@ def _mapped(docs: DataFrame, name: str, of) -> DataFrame:
                 values = pa.array(np.concatenate(made) if made else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "text_hash", "n_shingles", name])
 
-    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, f"doc_id long, text_hash long, n_shingles long, {name} array<long>")
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(tidy(run), f"doc_id long, text_hash long, n_shingles long, {name} array<long>")
 
 
 def copies(docs: DataFrame, similarity: float = SIMILARITY, met_before: DataFrame | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import byte_slices, once_a_process, written
+from quillstream.llm.common import byte_slices, once_a_process, tidy, written
 from quillstream.llm.tokens import ByteEncoder
 
 CAPACITY = 1024
@@ -137,7 +137,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, e
     pieces of a length in their task.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(narrow.mapInArrow(lambda it: _cut(it, tokenizer_path, capacity, end_id), PIECES), "pieces")
+    return written(narrow.mapInArrow(tidy(lambda it: _cut(it, tokenizer_path, capacity, end_id)), PIECES), "pieces")
 
 
 def pack_best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -171,7 +171,7 @@ def pack_best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in ranked.dtypes if n != "rank")
-    return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(place), f"{schema}, sequence_id long, offset long")
 
 
 def packed_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

@@ -22,7 +22,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import byte_slices, in_sample
+from quillstream.llm.common import byte_slices, in_sample, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 #: The longest span in tokens; chunks of context on either side of a zone's digits and signs; characters of the pieces that a long
@@ -424,4 +424,4 @@ def annotate(docs: DataFrame, mask: bool = False) -> DataFrame:
 
     typed = docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in own])
     schema = ", ".join([f"`{n}` {t}" for n, t in typed.dtypes] + [f"{n} long" for n in names[:4]] + ["base_sha256 string", "spans string"])
-    return typed.mapInArrow(run, schema)
+    return typed.mapInArrow(tidy(run), schema)

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import byte_slices, once_a_process, written
+from quillstream.llm.common import byte_slices, once_a_process, tidy, written
 from quillstream.llm.tokens import WordEncoder
 
 MAGIC = b"QRP1"
@@ -216,7 +216,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, sha
     total = narrow.agg(F.sum(F.octet_length("text") + 16).alias("n")).first()["n"] or 0
     tie = F.xxhash64("text")
     ranged = narrow.repartitionByRange(max(1, -(-total // task_bytes)), F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
-    return written(ranged.mapInArrow(lambda it: _encode(it, tokenizer_path, end_id, shard_ids), SHARDS), "repair-shards")
+    return written(ranged.mapInArrow(tidy(lambda it: _encode(it, tokenizer_path, end_id, shard_ids)), SHARDS), "repair-shards")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -249,4 +249,4 @@ def read_shards(shards: DataFrame) -> DataFrame:
                         names=["shard", "doc_id", "start", "n_tokens", "ids"])
 
     placed = shards.select("shard", "data").join(before, "shard")  # the compressed shards meet their offsets, not the decoded rows
-    return placed.mapInArrow(decode, "shard long, doc_id long, start long, n_tokens long, ids binary")
+    return placed.mapInArrow(tidy(decode), "shard long, doc_id long, start long, n_tokens long, ids binary")

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import byte_slices, join_skewed, written
+from quillstream.llm.common import byte_slices, join_skewed, tidy, written
 from quillstream.llm.components import components
 from quillstream.llm.minhash import SHINGLE as COPY_SHINGLE
 from quillstream.llm.minhash import SIMILARITY, copies
@@ -93,7 +93,7 @@ def _columns(n: int) -> list[str]:
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, n: int = 1) -> DataFrame:
     """doc_id, text_hash (xxhash64 of the text, null as empty) and fp0 on (the fingerprints as signed longs) of every document."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(docs).alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(lambda it: _fingerprints(it, shingle, n), "doc_id long, text_hash long, " + ", ".join(f"{c} long" for c in _columns(n)))
+    return narrow.mapInArrow(tidy(lambda it: _fingerprints(it, shingle, n)), "doc_id long, text_hash long, " + ", ".join(f"{c} long" for c in _columns(n)))
 
 
 def text_hash(docs: DataFrame):
@@ -116,7 +116,7 @@ def agreement(distinct: DataFrame, column: str = "fp0") -> tuple[int, np.ndarray
         i, j = np.indices((BITS, BITS))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(i.ravel(), -1)), pa.array(np.append(j.ravel(), -1)), pa.array(np.append(total.ravel(), n).astype(np.int64))], names=["i", "j", "n"])
 
-    rows = distinct.select(column).mapInArrow(count, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
+    rows = distinct.select(column).mapInArrow(tidy(count), "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
     both = np.zeros((BITS, BITS))
     n = 0
     for r in rows:  # 4097 rows
@@ -333,7 +333,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         signatures.append(_changed(k, own, changes))
     rows = distinct.select(*_columns(n), F.inline(F.concat(*signatures)))
     dealt = rows.repartition("k", "sig").sortWithinPartitions("k", "sig").select("k", "sig", "probe", *_columns(n))
-    links = dealt.mapInArrow(lambda it: _links(it, partitions, radius, n, limit), ", ".join(f"{side}{k} long" for side in "ab" for k in range(n)))
+    links = dealt.mapInArrow(tidy(lambda it: _links(it, partitions, radius, n, limit)), ", ".join(f"{side}{k} long" for side in "ab" for k in range(n)))
     return links.select(*[_key([f"{side}{k}" for k in range(n)]).alias(side) for side in "ab"])
 
 

@@ -28,9 +28,8 @@ class ByteEncoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.path, self.library = path, None  # the library's own model is opened by the first text that needs it
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.added = tuple(x["content"] for x in spec.get("added_tokens", ()))
@@ -56,6 +55,10 @@ class ByteEncoder:
                 pass
             else:
                 return np.array(self.fast.encode_ordinary(text), dtype=np.uint32)
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 

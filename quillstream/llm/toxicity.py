@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import byte_slices, in_sample, received, sent
+from quillstream.llm.common import byte_slices, in_sample, received, sent, tidy
 
 #: The sample: documents of each class, about, and the characters that one of them may have; longer ones teach nothing.
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 800, 1600, 200_000
@@ -169,6 +169,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = narrow.mapInArrow(run, "doc_id long, score double")
+    scored = narrow.mapInArrow(tidy(run), "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
