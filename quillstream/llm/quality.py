@@ -18,6 +18,8 @@ from quillstream.llm.common import BLANKS, in_sample, let, settled, words, writt
 SAMPLE_DOCS = 20_000
 #: Hash buckets, pseudo-counts per bucket, and the least mean log ratio that is kept where labels don't say.
 BUCKETS, SMOOTHING, THRESHOLD = 1 << 16, 0.5, -0.3
+#: Digits of a ratio after the point.
+DIGITS = 4
 #: The base rules: fewer words fail, and so does a larger percentage of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
@@ -104,8 +106,8 @@ def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
     and fails; rows with one doc_id are judged each; without trusted documents the base rules alone decide; columns of docs
     with the names given here are replaced.
     """
-    # The BUCKETS ratios in order, as one constant of the plan.
-    ordered = [repr(r["ratio"]) for r in ratios(docs, labels).orderBy("bucket").collect()]
+    # The BUCKETS ratios in order, as one constant of the plan, which names it once and with few digits: its text stands in every report of the plan.
+    ordered = [f"{r['ratio']:.{DIGITS}f}" for r in ratios(docs, labels).orderBy("bucket").collect()]
     lookup = F.split(F.lit(",".join(ordered)), ",").cast("array<double>")
     text = F.col("_text")
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, BLANKS, "") != "")
@@ -117,7 +119,7 @@ def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
         n = F.size(hashes)
         return let(neighbours(hashes), lambda pairs: F.struct(
             n.cast("long").alias("n_words"), repeated_words(hashes, pairs).cast("long").alias("n_repeat_words"),
-            ((total(hashes) + total(pairs)) / F.nullif(2 * n - 1, F.lit(-1))).alias("score")))
+            (total(F.concat(hashes, pairs)) / F.nullif(2 * n - 1, F.lit(-1))).alias("score")))
 
     found = settled(
         docs.select(row.alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")),

@@ -46,7 +46,7 @@ def test_base_rules_and_scores(spark):
             raw[b] += 1
             target[b] += r["text"] in trusted
     share = lambda c, b: (c[b] + quality.SMOOTHING) / (c.total() + quality.SMOOTHING * quality.BUCKETS)
-    wanted = sorted(sum(math.log(share(target, b) / share(raw, b)) for b in bs) / len(bs) for _, bs in buckets if bs)
+    wanted = sorted(sum(round(math.log(share(target, b) / share(raw, b)), quality.DIGITS) for b in bs) / len(bs) for _, bs in buckets if bs)
     assert np.allclose(sorted(r["score"] for r in got if r["score"] is not None), wanted, atol=1e-9)
     assert all(r["kept"] == (not r["base_failed"] and r["score"] >= quality.THRESHOLD) for r in got if r["score"] is not None)
     assert {r["score"] for r in got if r["n_words"] == 0} == {None} and all(r["_w"] == "own" for r in got)
