@@ -3,8 +3,9 @@
 A text's BANDS keys are hashes of ROWS minima each, over its set of shingles; two texts with one key in common meet.
 At similarity s they meet with the chance 1 - (1 - s**ROWS)**BANDS: 0.9998 at 0.8.  Whether texts that meet are
 copies is decided by the Jaccard of their whole sets alone.  First each text is held against one text of each of its
-keys, another for every key; then all that meet and are not in one component yet are held against one another.
-So any two texts of a key are in one component, or were held against one another themselves.
+keys, another for every key; then all that meet in a key of at most CROWDED texts and are not in one component yet are held
+against one another.  So any two texts of such a key are in one component, or were held against one another themselves;
+two texts that share crowded keys alone are linked through one of up to BANDS centres, or not at all.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from quillstream.llm.components import components
 #: Words in a shingle, similarity that counts as a copy, keys of a text, minima in a key.
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 16, 4
 SEED = 42
+#: Texts of a key that are still apart are held against one another if the key has at most so many texts: in larger ones that
+#: would be the square of their number.  There a text meets the centres of its keys, and what operator 7 links it to, alone.
+CROWDED = 64
 #: Odd factors, one for each minimum.
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Shingles that are multiplied at once, so that they stay in the processor's cache.
@@ -122,7 +126,8 @@ def copies(docs: DataFrame, similarity: float = SIMILARITY, met_before: DataFram
     roots = components(links)
     # Keys whose texts are not in one component yet.
     named = written(met.join(roots, met["text_hash"] == roots["node"], "left").select("key", "text_hash", "n_shingles", F.coalesce("root", "text_hash").alias("root")), "texts-of-keys")
-    mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    state = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+    mixed = state.where((F.col("low") != F.col("high")) & (F.col("n") <= CROWDED)).select("key")
     left = named.join(mixed, "key", "left_semi")
     x, y = left.alias("x"), left.alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.text_hash") < F.col("y.text_hash"))
