@@ -3,9 +3,13 @@
 A text's BANDS keys are hashes of ROWS minima each, over its set of shingles; two texts with one key in common meet.
 At similarity s they meet with the chance 1 - (1 - s**ROWS)**BANDS: 0.9998 at 0.8.  Whether texts that meet are
 copies is decided by the Jaccard of their whole sets alone.  First each text is held against one text of each of its
-keys, another for every key; then all that meet in a key of at most CROWDED texts and are not in one component yet are held
-against one another.  So any two texts of such a key are in one component, or were held against one another themselves;
-two texts that share crowded keys alone are linked through one of up to BANDS centres, or not at all.
+keys, another for every key; that puts most copies in one component.  Then, in every key whose texts are not all in one
+component, all texts of different components are held against one another, block against block.  So any two texts
+with a key in common are in one component, or were held against one another themselves, however many have that key.
+
+Blocks bound what a task holds, and a pair of blocks gives fewer links than it has texts.  The comparisons of a key
+are its texts outside its largest component times all its texts: the square of their number at worst, which is the
+price of losing no link.
 """
 
 from __future__ import annotations
@@ -22,9 +26,10 @@ from quillstream.llm.components import components
 #: Words in a shingle, similarity that counts as a copy, keys of a text, minima in a key.
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 16, 4
 SEED = 42
-#: Texts of a key that are still apart are held against one another if the key has at most so many texts: in larger ones that
-#: would be the square of their number.  There a text meets the centres of its keys, and what operator 7 links it to, alone.
-CROWDED = 64
+#: Texts, and shingles, that a block of a key has on average at most.
+BLOCK_TEXTS, BLOCK_SHINGLES = 2048, 1_000_000
+#: Cells of a matrix of texts by shingles that are multiplied at once.
+CELLS = 4_000_000
 #: Odd factors, one for each minimum.
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Shingles that are multiplied at once, so that they stay in the processor's cache.
@@ -79,6 +84,95 @@ def _mapped(docs: DataFrame, name: str, of) -> DataFrame:
     return docs.select("doc_id", "text_hash", "text").mapInArrow(tidy(run), f"doc_id long, text_hash long, n_shingles long, {name} array<long>")
 
 
+def shared_shingles(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each set of left shares with each of right, by products of 0-1 matrices over the hashes of both sides."""
+    sizes = [np.array([len(x) for x in side]) for side in (left, right)]
+    values = [np.concatenate(side) for side in (left, right)]
+    common = np.intersect1d(*values)
+    rows, at = [], []
+    for value, size in zip(values, sizes):
+        place = np.searchsorted(common, value)
+        found = place < len(common)
+        found[found] = common[place[found]] == value[found]
+        rows.append(np.repeat(np.arange(len(size)), size)[found])
+        at.append(place[found])
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    step = max(1, CELLS // max(len(left), len(right)))
+    for start in range(0, len(common), step):
+        parts = []
+        for side, r, c in zip((left, right), rows, at):
+            now = (c >= start) & (c < start + step)
+            cells = np.zeros((len(side), min(step, len(common) - start)), dtype=np.float32)
+            cells[r[now], c[now] - start] = 1
+            parts.append(cells)
+        out += (parts[0] @ parts[1].T).astype(np.int64)
+    return out
+
+
+def block_links(blocks: np.ndarray, texts: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that connect what is so similar between two blocks, or within one: as few as connect the same components."""
+    first = np.flatnonzero(blocks == blocks.min())
+    second = np.flatnonzero(blocks == blocks.max())
+    shared = shared_shingles([sets[x] for x in first], [sets[x] for x in second])
+    size = np.array([len(x) for x in sets])
+    near = shared >= similarity * (size[first][:, None] + size[second] - shared) - 1e-9
+    near &= roots[first][:, None] != roots[second]
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for i, j in np.argwhere(near).tolist():
+        x, y = first[i], second[j]
+        if (a := find(int(roots[x]))) != (b := find(int(roots[y]))):
+            parent[a] = b
+            out.append((int(texts[x]), int(texts[y])))
+    return out
+
+
+def links_of_keys(named: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links a, b between texts that share a key and are in different components, which connect all that are so similar.
+
+    named: key, text_hash, n_shingles, root.  A key's blocks are numbered: those of texts outside its largest
+    component come first, and each of them meets itself and all later ones.  A key that fits in one block is one.
+    """
+    parts = named.groupBy("key", "root").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("s"))
+    state = parts.groupBy("key").agg(F.max_by(F.struct("root", "m", "s"), F.struct("m", "root")).alias("most"), F.sum("m").alias("n"), F.sum("s").alias("s"), F.count("*").alias("n_roots"))
+
+    def blocks(texts, hashes):
+        return F.greatest(F.ceil(texts / BLOCK_TEXTS), F.ceil(hashes / BLOCK_SHINGLES)).cast("int")
+
+    one = blocks(F.col("n"), F.col("s")) == 1
+    mixed = state.where("n_roots > 1").select(
+        "key", "n", F.col("most.root").alias("largest"),
+        F.when(one, 1).otherwise(blocks(F.col("n") - F.col("most.m"), F.col("s") - F.col("most.s"))).alias("others"),
+        F.when(one, 0).otherwise(blocks(F.col("most.m"), F.col("most.s"))).alias("own"))
+    left = join_skewed(named, written(mixed, "mixed-keys"), "key", "n", named.count())
+    draw = F.xxhash64("text_hash", F.lit(1))
+    within = (F.col("own") > 0) & (F.col("root") == F.col("largest"))
+    block = F.when(within, F.col("others") + F.pmod(draw, F.col("own"))).otherwise(F.pmod(draw, F.col("others"))).cast("int")
+    last = F.when(within, F.col("others") - 1).otherwise(F.col("others") + F.col("own") - 1)
+    dealt = left.select("key", "text_hash", "root", block.alias("block"), F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("with"))
+    dealt = dealt.select("key", "text_hash", "root", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+
+    def compare(group):
+        import pyarrow as pa
+
+        get = lambda c: group.column(c).to_numpy()
+        hashes = group.column("hashes").combine_chunks()
+        offsets, values = hashes.offsets.to_numpy(), hashes.values.to_numpy()
+        block, low, high = get("block"), group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        found = []
+        if len(block) > 1 and (low == high or len(np.unique(block)) == 2):  # a block may have no text at all
+            found = block_links(block, get("text_hash"), get("root"), [values[a:b] for a, b in zip(offsets, offsets[1:])], similarity)
+        return pa.table({side: pa.array([x[k] for x in found], pa.int64()) for k, side in enumerate("ab")})
+
+    return dealt.join(sets, "text_hash").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def copies(docs: DataFrame, similarity: float = SIMILARITY, met_before: DataFrame | None = None) -> DataFrame:
     """doc_id, text_hash, component_id (the least doc_id, null if there is none) and root (the least text_hash) of every document.
 
@@ -124,17 +218,10 @@ def copies(docs: DataFrame, similarity: float = SIMILARITY, met_before: DataFram
 
     links = written(similar(tried), "links")
     roots = components(links)
-    # Keys whose texts are not in one component yet.
     named = written(met.join(roots, met["text_hash"] == roots["node"], "left").select("key", "text_hash", "n_shingles", F.coalesce("root", "text_hash").alias("root")), "texts-of-keys")
-    state = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
-    mixed = state.where((F.col("low") != F.col("high")) & (F.col("n") <= CROWDED)).select("key")
-    left = named.join(mixed, "key", "left_semi")
-    x, y = left.alias("x"), left.alias("y")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.text_hash") < F.col("y.text_hash"))
-    rest = x.join(y, apart & alike(F.col("x.n_shingles"), F.col("y.n_shingles"))).select(*pair(F.col("x.text_hash"), F.col("y.text_hash"))).distinct()
-    rest = written(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
+    rest = written(links_of_keys(named, sets, similarity), "links")
     if not rest.isEmpty():
-        roots = components(links.union(similar(rest)))
+        roots = components(links.union(rest))
 
     # Only texts with a link are in roots; a root itself is added to its own component.
     members = roots.union(roots.select("root", "root").distinct()).toDF("text_hash", "root").distinct()

@@ -53,3 +53,31 @@ def test_components_are_those_of_all_pairs(spark):
             if label[i] != label[j] and jaccard(a, texts[j]) >= 0.8:
                 label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
     assert {r["doc_id"]: r["component_id"] for r in near} == dict(enumerate(label))
+
+
+def test_crowded_keys_lose_no_link(spark, monkeypatch):
+    rng, words = random.Random(5), cases.vocabulary(13, 2000)
+    base = cases.prose(rng, words, 150)
+    texts = [edited(rng, base, rng.uniform(0.7, 0.9)) for _ in range(240)]  # of one origin, many under 0.8 to one another
+    rows = [(k, t, "en", "s", 0) for k, t in enumerate(texts)]
+    label = list(range(len(texts)))
+    for i, a in enumerate(texts):
+        for j in range(i):
+            if label[i] != label[j] and jaccard(a, texts[j]) >= 0.8:
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    assert 1 < len(set(label)) < len(texts)
+    docs = cases.frame(spark, rows).withColumn("text_hash", F.xxhash64("text"))
+    for size in (2048, 16):
+        monkeypatch.setattr(minhash, "BLOCK_TEXTS", size)
+        assert {r["doc_id"]: r["component_id"] for r in minhash.copies(docs).collect()} == dict(enumerate(label))
+
+
+def test_shared_shingles_are_counted_whole(monkeypatch):
+    import numpy as np
+
+    draw = np.random.default_rng(6)
+    sides = [[np.unique(draw.integers(0, 300, draw.integers(0, 200), dtype=np.int64)) for _ in range(n)] for n in (7, 12)]
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in sides[1]] for a in sides[0]]
+    for cells in (1, 100, 10**6):
+        monkeypatch.setattr(minhash, "CELLS", cells)
+        assert minhash.shared_shingles(*sides).tolist() == want
