@@ -47,12 +47,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Removes a table that written() gave, once nothing that is yet to run reads it."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables that written() gave, once nothing that is yet to run reads them."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def sent(spark: SparkSession, value):
@@ -104,15 +105,16 @@ def byte_slices(batch, column: str = "text", most: int = 4_000_000):
 def join_skewed(facts: DataFrame, dim: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """facts joined to dim on key, where a few keys may hold most facts.
 
-    dim has one row per key, and ``weight`` says how many of the ``total`` facts have it.  The keys with
-    over a thousandth of the facts, a thousand at most, are broadcast; all others are joined by a shuffle.
+    dim has one row per key, and ``weight`` says how many of the ``total`` facts have it.  The keys, which are numbers,
+    with over a thousandth of the facts, so a thousand at most, are a constant of the plan, and their rows of dim are
+    broadcast; all others are joined by a shuffle, which facts of hot keys take no part in.
     """
-    hot = dim.where(F.col(weight) * 1000 > total).drop(weight)
-    cold = dim.where(F.col(weight) * 1000 <= total).drop(weight)
-    known = [F.col(c) for c in facts.columns]
-    marked = facts.join(F.broadcast(hot.select(key, F.lit(True).alias("_hot"))), key, "left")
-    few = facts.join(F.broadcast(hot), key)
-    many = marked.where(F.col("_hot").isNull()).select(*known).join(cold, key)
+    often = F.col(weight) * 1000 > total
+    hot = [r[0] for r in dim.where(often).select(key).collect()]
+    if not hot:
+        return facts.join(dim.drop(weight), key)
+    few = facts.where(F.col(key).isin(hot)).join(F.broadcast(dim.where(often).drop(weight)), key)
+    many = facts.where(~F.col(key).isin(hot)).join(dim.where(~often).drop(weight), key)
     return few.unionByName(many)
 
 

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import byte_slices, join_skewed, tidy, written
+from quillstream.llm.common import byte_slices, dropped, join_skewed, tidy, written
 from quillstream.llm.components import components
 
 #: Words in a shingle, similarity that counts as a copy, keys of a text, minima in a key.
@@ -222,6 +222,7 @@ def copies(docs: DataFrame, similarity: float = SIMILARITY, met_before: DataFram
     rest = written(links_of_keys(named, sets, similarity), "links")
     if not rest.isEmpty():
         roots = components(links.union(rest))
+    dropped(shared, met, tried, sets, links, named, rest)
 
     # Only texts with a link are in roots; a root itself is added to its own component.
     members = roots.union(roots.select("root", "root").distinct()).toDF("text_hash", "root").distinct()
@@ -229,4 +230,6 @@ def copies(docs: DataFrame, similarity: float = SIMILARITY, met_before: DataFram
     group = member.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n_members"))
     linked = join_skewed(member.select("text_hash", "root"), group, "root", "n_members", member.count()).select("text_hash", "root", "component_id")
     by_text = distinct.join(linked, "text_hash", "left").select("text_hash", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("root", "text_hash").alias("root"), F.col("n_same").alias("weight"))
-    return join_skewed(each.select("doc_id", "text_hash"), by_text, "text_hash", "weight", each.count())
+    out = written(join_skewed(each.select("doc_id", "text_hash"), by_text, "text_hash", "weight", each.count()), "copies")
+    dropped(each, distinct, roots, member)
+    return out

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import byte_slices, join_skewed, tidy, written
+from quillstream.llm.common import byte_slices, dropped, join_skewed, tidy, written
 from quillstream.llm.components import components
 from quillstream.llm.minhash import SHINGLE as COPY_SHINGLE
 from quillstream.llm.minhash import SIMILARITY, copies
@@ -374,7 +374,9 @@ def near_texts(docs: DataFrame, shingle: int) -> DataFrame:
     links = near_links(distinct)
     for side in "ab":
         links = links.join(distinct.select(F.col("fp0").alias(side), F.col("first").alias(f"{side}_first")), side)
-    return written(named.union(links.select("a_first", "b_first")), "near-texts")
+    out = written(named.union(links.select("a_first", "b_first")), "near-texts")
+    dropped(texts, distinct)
+    return out
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -385,8 +387,11 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     doc_id one row stays.
     """
     narrow = docs.select("doc_id", text_hash(docs).alias("text_hash"), "text")
-    near = copies(narrow, similarity, near_texts(docs, COPY_SHINGLE))
+    met = near_texts(docs, COPY_SHINGLE)
+    near = copies(narrow, similarity, met)
+    dropped(met)
     found = written(near.groupBy("doc_id", "text_hash").agg(F.first("component_id").alias("component_id"), F.first("root").alias("root"), F.count("*").alias("n")), "near-duplicates")
+    dropped(near)
     # Who stays: the documents that name their component, and of a component without a name the least text.
     stays = F.when(F.col("component_id").isNotNull(), F.col("doc_id").eqNullSafe(F.col("component_id"))).otherwise(F.col("text_hash") == F.col("root"))
     keys = [F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash")]
