@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstream.functions import values
@@ -15,7 +15,7 @@ from quillstream.operators.html import html_title, with_html_text
 UTTERANCE = "struct<speaker:string,text:string,type:string,emotion:string,chapter_index:int,line_index:int>"
 CHAPTER = f"struct<index:int,title:string,raw_text:string,utterances:array<{UTTERANCE}>,source_file:string,audio_path:string,duration_seconds:double>"
 CHARACTER = "struct<name:string,voice:string,emotion:string,description:string,line_count:int>"
-CONFIG = "struct<chapter_pause_ms:int,narrator_pause_ms:int,dialogue_pause_ms:int,sample_rate:int,output_format:string,fallback_voice_id:string,validate_voices_on_render:boolean,estimated_wpm:int,min_chapter_words:int,keep_titled_short_chapters:boolean,language_code:string,booknlp_mode:string,emotion_mode:string,emotion_confidence_threshold:double>"
+CONFIG = "struct<chapter_pause_ms:int,narrator_pause_ms:int,dialogue_pause_ms:int,sample_rate:bigint,output_format:string,fallback_voice_id:string,validate_voices_on_render:boolean,estimated_wpm:int,min_chapter_words:int,keep_titled_short_chapters:boolean,language_code:string,booknlp_mode:string,emotion_mode:string,emotion_confidence_threshold:double>"
 PROJECT = f"schema_version int, title string, author string, source_path string, created_at string, modified_at string, output_path string, chapters array<{CHAPTER}>, casting struct<characters:map<string,{CHARACTER}>,default_narrator:string,unknown_character_behavior:string,fallback_voice_id:string>, config {CONFIG}"
 MANIFEST = "version int, book_title string, config_hash string, chapters array<struct<chapter_index:int,text_hash:string,casting_hash:string,render_params_hash:string,wav_path:string,duration_s:double,status:string,error_summary:string,created_at:string>>, last_updated string"
 FAILURES = "timestamp string, book_title string, total_chapters int, rendered_ok int, cached_ok int, failed_count int, failed_chapters array<struct<chapter_index:int,chapter_title:string,error_message:string,stack_trace:string,failed_utterance:struct<index:int,speaker:string,text_preview:string,voice_id:string,emotion:string>>>, cache_dir string, manifest_path string"
@@ -155,16 +155,17 @@ def _known(rows: DataFrame, name: str, otherwise, kind: str):
     return (F.col(name) if otherwise is None else F.coalesce(F.col(name), F.lit(otherwise))).cast(kind).alias(name)
 
 
-def project_json(books: DataFrame, chapters: DataFrame, utterances: DataFrame, casting: DataFrame, config: dict | None = None) -> DataFrame:
-    """book_id and json, one project document per book (book_id, title, author); nulls stay, other letters are not escaped.
+def project_parts(books: DataFrame, chapters: DataFrame, utterances: DataFrame, casting: DataFrame, config: dict | None = None) -> DataFrame:
+    """book_id, part, chapter_index and json: a project document per book (book_id, title, author) in parts, none of them larger than a chapter.
 
+    Its parts in the order of part (0 its beginning, 1 a chapter, 2 its end) and chapter_index, with commas between chapters,
+    are the document; chapters of no book in books have neither beginning nor end.  Nulls stay, other letters are not escaped.
     What books has of project_books(), chapters of source_file, audio_path and duration_seconds, and casting of line_count is
     written; settings are those of config, then those of the book, then the defaults.
     """
     spoken = utterances.groupBy("book_id", "chapter_index").agg(F.array_sort(F.collect_list(F.struct("line_index", F.struct("speaker", "text", "type", "emotion", "chapter_index", F.col("line_index").alias("line_index")).alias("u")))).alias("_u"))
     row = F.struct(F.col("chapter_index").alias("index"), "title", "raw_text", F.coalesce(F.transform("_u", lambda x: x["u"]), F.array().cast("array<struct<speaker:string,text:string,type:string,emotion:string,chapter_index:bigint,line_index:bigint>>")).alias("utterances"),
                    _known(chapters, "source_file", None, "string"), _known(chapters, "audio_path", None, "string"), _known(chapters, "duration_seconds", 0.0, "double"))
-    parts = chapters.join(spoken, ["book_id", "chapter_index"], "left").groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("chapter_index", row.alias("c")))).alias("_c"))
     person = F.struct("name", "voice", "emotion", "description", _known(casting, "line_count", 0, "int")).alias("v")
     people = casting.groupBy("book_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("speaker_key", person)))).alias("_p"))
     table = F.struct(F.coalesce("_p", F.create_map().cast("map<string,struct<name:string,voice:string,emotion:string,description:string,line_count:int>>")).alias("characters"), *[_known(books, k, v, "string") for k, v in CAST_FIELDS.items()])
@@ -175,9 +176,36 @@ def project_json(books: DataFrame, chapters: DataFrame, utterances: DataFrame, c
         own = [F.col(f"config.{name}")] if "config" in books.columns and name in books.schema["config"].dataType.names else []
         return F.coalesce(*own, F.lit(default)).alias(name)
 
+    def part(rows: DataFrame, number: int, index: Column, json: Column) -> DataFrame:
+        return rows.select("book_id", F.lit(number).alias("part"), index.cast("long").alias("chapter_index"), json.alias("json"))
+
+    text = lambda *fields: F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
     settings = F.struct(*[setting(k, v) for k, v in values.CONFIG_DEFAULTS.items()])
-    document = F.struct(F.lit(values.SCHEMA_VERSION).alias("schema_version"), "title", "author", *[_known(books, k, v, "string") for k, v in PROJECT_FIELDS.items()], F.transform("_c", lambda x: x["c"]).alias("chapters"), table.alias("casting"), settings.alias("config"))
-    return books.join(parts, "book_id", "left").join(people, "book_id", "left").select("book_id", F.to_json(document, {"ignoreNullFields": "false"}).alias("json"))
+    begin = text(F.lit(values.SCHEMA_VERSION).alias("schema_version"), "title", "author", *[_known(books, k, v, "string") for k, v in PROJECT_FIELDS.items()])
+    end = text(table.alias("casting"), settings.alias("config"))
+    told = chapters.join(spoken, ["book_id", "chapter_index"], "left")
+    return (part(books, 0, F.lit(None), F.concat(F.regexp_replace(begin, r"\}\z", ""), F.lit(',"chapters":[')))
+            .unionByName(part(told, 1, F.col("chapter_index"), F.to_json(row, {"ignoreNullFields": "false"})))
+            .unionByName(part(books.join(people, "book_id", "left"), 2, F.lit(None), F.concat(F.lit("],"), F.regexp_replace(end, r"\A\{", "")))))
+
+
+def parts_projects(parts: DataFrame) -> DataFrame:
+    """Project rows of project_parts(), but for their chapters."""
+    at = lambda k: F.max(F.when(F.col("part") == k, F.col("json")))
+    ends = parts.where("part <> 1").groupBy("book_id").agg(F.concat(at(0), at(2)).alias("json"))
+    return ends.select("book_id", F.from_json("json", PROJECT).alias("p")).select("book_id", "p.*")
+
+
+def parts_chapters(parts: DataFrame) -> DataFrame:
+    """Project rows of project_parts() with nothing but chapters, one in each."""
+    return parts.where("part = 1").select("book_id", F.array(F.from_json("json", CHAPTER)).alias("chapters"))
+
+
+def project_json(books: DataFrame, chapters: DataFrame, utterances: DataFrame, casting: DataFrame, config: dict | None = None) -> DataFrame:
+    """book_id and json, one project document per book: the parts of project_parts() in one row, so for books that a task has room for."""
+    parts = project_parts(books, chapters, utterances, casting, config).groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("part", "chapter_index", "json"))).alias("_a"))
+    of = lambda k: F.array_join(F.transform(F.filter("_a", lambda x: x["part"] == k), lambda x: x["json"]), ",")
+    return parts.where(F.exists("_a", lambda x: x["part"] == 0)).select("book_id", F.concat(of(0), of(1), of(2)).alias("json"))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame | None:

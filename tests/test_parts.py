@@ -1,6 +1,7 @@
 """Chapters, emotions, casting, suggestions, review files, rendering, sources: literal cases."""
 
 import io
+import json
 import zipfile
 
 import pytest
@@ -224,6 +225,38 @@ def test_sources(spark, tmp_path):
     assert sorted(r["title"] for r in B.section_chapters(items, least_words=1).collect()) == ["Chapter 2", "One"]
 
 
+def test_project_parts(spark):
+    """A document in parts, none of them larger than its largest chapter or what stands around the chapters."""
+    text = 'say "],\\n{ é'
+    chapters = spark.createDataFrame([("b", k, f"T{k}", text * (k % 7)) for k in range(200)] + [("none", 0, "", "")], "book_id string, chapter_index long, title string, raw_text string").repartition(8)
+    books = spark.createDataFrame([("b", '}"', "A", (3_000_000_000,)), ("empty", "E", "", (1,))], "book_id string, title string, author string, config struct<sample_rate:long>")
+    u = spark.createDataFrame([("b", 1, 0, "Ann", "Hm", "dialogue", None)], UTTERANCE)
+    cast = spark.createDataFrame([("b", "ann", "Ann", "af_sky", None, None)], "book_id string, speaker_key string, name string, voice string, emotion string, description string")
+    parts = B.project_parts(books, chapters, u, cast)
+    rows = sorted(parts.collect(), key=lambda r: (r["part"], r["chapter_index"] or 0))
+    assert len(rows) == 201 + 2 * 2 and max(len(r["json"]) for r in rows) < 800
+    whole = {r["book_id"]: r["json"] for r in B.project_json(books, chapters, u, cast).collect()}
+    for b in ("b", "empty"):
+        begin, middle, end = [",".join(r["json"] for r in rows if (r["book_id"], r["part"]) == (b, k)) for k in range(3)]
+        assert whole[b] == begin + middle + end
+    document = json.loads(whole["b"])
+    assert [(c["index"], c["raw_text"]) for c in document["chapters"]] == [(k, text * (k % 7)) for k in range(200)]
+    assert (document["title"], document["config"]["sample_rate"], document["casting"]["characters"]["ann"]["voice"]) == ('}"', 3_000_000_000, "af_sky")
+    assert json.loads(whole["empty"])["chapters"] == [] and len(whole) == 2
+    back = B.parts_projects(parts)
+    assert {(r["book_id"], r["title"], r["config"]["sample_rate"]) for r in B.project_books(back).collect()} == {("b", '}"', 3_000_000_000), ("empty", "E", 1)}
+    assert {(r["chapter_index"], r["raw_text"]) for r in B.project_chapters(B.parts_chapters(parts)).where("book_id = 'b'").collect()} == {(k, text * (k % 7)) for k in range(200)}
+    assert [r["text"] for r in B.project_utterances(B.parts_chapters(parts)).collect()] == ["Hm"] and B.project_casting(back).count() == 1
+
+
+def test_project_settings_gathers_no_book(spark):
+    """Nothing in the plan of the query brings a book's chapters into one row."""
+    from quillstream.plans import queries
+
+    plan = queries.queries()["project_settings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "raw_text" in plan and not [x for x in plan.splitlines() if "collect_list" in x and "raw_text" in x]
+
+
 def test_projects(spark, tmp_path):
     u = spark.createDataFrame([("b", 0, 0, "Ann", 'Say "é"', "dialogue", None)], UTTERANCE)
     chapters = spark.createDataFrame([("b", 0, "One", "raw"), ("b", 1, "Two", "")], "book_id string, chapter_index long, title string, raw_text string")
