@@ -36,15 +36,18 @@ def _character(code: Column) -> Column:
     return F.coalesce(known, F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")), F.lit("�"))
 
 
-def unescape(text: Column) -> Column:
-    """Named and numbered references as the characters that they stand for; names that need no semicolon may lack it."""
+def unescape(text: Column, bare: bool = True) -> Column:
+    """Named and numbered references as the characters that they stand for.
+
+    Numbers and the names that need no semicolon may lack it; without ``bare`` what lacks it stays as it is.
+    """
     names = F.from_json(F.lit(json.dumps({n: c for n, c in html5.items()})), "map<string,string>")
-    bare = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+    short = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
 
     def one(part: Column) -> Column:
-        number = F.regexp_extract(part, r"^#(?:[0-9]{1,9}|[xX][0-9a-fA-F]{1,8});?", 0)
+        number = F.regexp_extract(part, r"^#(?:[0-9]{1,9}|[xX][0-9a-fA-F]{1,8});" + "?" * bare, 0)
         name = F.regexp_extract(part, r"^[A-Za-z][A-Za-z0-9]*;", 0)
-        legacy = F.regexp_extract(part, f"^(?:{bare})", 0)
+        legacy = F.regexp_extract(part, f"^(?:{short})", 0) if bare else F.lit("")
         code = F.when(F.lower(F.substring(number, 2, 1)) == "x", F.conv(F.regexp_extract(number, "[xX]([0-9a-fA-F]+)", 1), 16, 10).cast("long")).otherwise(F.regexp_extract(number, "[0-9]+", 0).try_cast("long"))
         rest = lambda found: F.substr(part, F.length(found) + 1)
         return (F.when(number != "", F.concat(_character(code), rest(number)))
@@ -55,8 +58,8 @@ def unescape(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(one(p))), "")).otherwise(text)
 
 
-def html_text(html: Column, compat: bool = False) -> Column:
-    """The text in paragraphs.  Tags without an end tag skip nothing, unless ``compat`` counts them as open for good."""
+def html_text(html: Column, compat: bool = False, bare: bool = True) -> Column:
+    """The text in paragraphs.  Tags without an end tag skip nothing, unless ``compat`` counts them as open for good; ``bare`` as in unescape()."""
     skipped = [t for t in SKIPPED_TAGS if t not in RAW and (compat or t not in VOID_TAGS)]
     tag, block = _tags(skipped), "(?is)" + _tags(BLOCK_TAGS)
     shown = F.regexp_replace(F.translate(html, BLOCK_END, ""), NOT_SHOWN, WORD_END)
@@ -70,14 +73,14 @@ def html_text(html: Column, compat: bool = False) -> Column:
 
     start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("seen"))
     seen = F.aggregate(pieces, start, step, lambda s: s["seen"])
-    words = unescape(F.regexp_replace(F.regexp_replace(seen, block, BLOCK_END), ANY_TAG, " "))
+    words = unescape(F.regexp_replace(F.regexp_replace(seen, block, BLOCK_END), ANY_TAG, " "), bare)
     paragraphs = F.transform(F.split(words, BLOCK_END), lambda p: F.regexp_replace(strip(p), rf"(?U){SPACE}+", " "))
     return F.array_join(F.filter(paragraphs, lambda p: p != ""), " \n\n")
 
 
-def with_html_text(pages: DataFrame, html: str = "html", compat: bool = False) -> DataFrame:
+def with_html_text(pages: DataFrame, html: str = "html", compat: bool = False, bare: bool = True) -> DataFrame:
     """Adds text."""
-    return pages.withColumn("text", html_text(F.col(html), compat))
+    return pages.withColumn("text", html_text(F.col(html), compat, bare))
 
 
 def html_title(html: Column) -> Column:

@@ -49,3 +49,18 @@ def test_entry(spark, monkeypatch):
 
     assert set(oracle.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).limit(1).count() == 1
+
+
+CUT = ["ado&amp;&amp;&amp", "x&copy", "&lt", "&quot;a&quot", "b&middot c", "&ampamp;", "&amp;lt", "&am", "&", "&amp;quot;"]
+
+
+@pytest.mark.parametrize("name", ["html_to_text_compat"])
+def test_references_that_are_cut_short_equal_sql(spark, tmp_path, name):
+    """Titles end within a reference in larger tables of pages; those of the smallest folder don't."""
+    pages = [(2 * k + odd, "http://a/", f'<html><head><meta charset="utf-8"><title>{t}</title></head><body><h1>{t}</h1><p>{t} <b>{t}</b></p></body></html>') for k, t in enumerate(CUT) for odd in (0, 1)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    theirs = dict(con.execute(f"SELECT page_id, text FROM ({oracle.oracle_sql()[name]})").fetchall())
+    mine = {r["page_id"]: r["text"] for r in queries.queries()[name](spark, str(tmp_path)).collect()}
+    assert mine == theirs and len(mine) == 2 * len(CUT)

@@ -192,6 +192,12 @@ def test_progress(spark):
     assert values(spark, ["70"], R.eta_text(F.col("text").cast("double"))) == ["~1m 10s remaining"]
 
 
+def test_html_references_without_semicolon(spark):
+    texts = ["a&amp</h1>b&lt;", "&#65 &#65; &#x41; &#x41", "&copy5 &copy;5 &notit; &amp;amp", None]
+    assert values(spark, texts, L.html_text(F.col("text"))) == ["a& \n\nb<", "A A A A", "©5 ©5 ¬it; &amp", None]
+    assert values(spark, texts, L.html_text(F.col("text"), bare=False)) == ["a&amp \n\nb<", "&#65 A A &#x41", "&copy5 ©5 &notit; &amp", None]
+
+
 def test_html(spark):
     page = "<html><head><meta charset=utf-8><title> T  t </title></head><body><nav>n</nav><h2>Head\n ing</h2><p>a <b>b</b></p><br>c<script>x</script></body></html>"
     odd = ["<meta charset='x'/><p>a</p>", "", None, "a < b &lt;p&gt; &copy 5 &#169; &#x41; &#150; &notit; &nope; & x&nbsp;y", "<nav><nav>x</nav>y</nav>z<footer>q", "a<!-- c -->b<script>if(a<nav>b)</script>c", "</nav>a<p>b", "x<nav><li>y</nav>z<link>r"]
